@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import percent
+from riskloom.operators.reshape import to_variables
 from riskloom.operators.selection import exact_quantiles
-from riskloom.sizing import join_checked
 
 
 def group_means(df: DataFrame, group: str, columns: Sequence[str], target: str, digits: int = 2) -> DataFrame:
@@ -43,12 +43,15 @@ def group_statistics(
             F.count(target).alias("tamano"),
         )
     )
-    for column in (spread, centre):
-        medians = exact_quantiles(df, column, [0.5], [group], ["m"]).select(
-            group, F.round("m", digits).alias(f"{column}_mediana")
-        )
-        base = join_checked(base, medians, [group], "left")
-    return base.orderBy(group)
+    rows = to_variables(df, [spread, centre], [group])
+    medians = exact_quantiles(rows, "value", [0.5], [group, "variable"], ["m"])
+    wide = medians.groupBy(group).agg(
+        *[
+            F.round(F.max(F.when(F.col("variable") == c, F.col("m"))), digits).alias(f"{c}_mediana")
+            for c in (spread, centre)
+        ]
+    )
+    return base.join(wide, group, "left").orderBy(group)
 
 
 def group_summary(df: DataFrame, group: str, value: Any, target: str, limit: str, age: str) -> DataFrame:

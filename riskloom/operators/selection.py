@@ -108,17 +108,33 @@ def exact_quantiles(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    accuracy: int = SKETCH_ACCURACY,
+    group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Quantiles by linear interpolation between order statistics, per group."""
+    """Quantiles by linear interpolation, per group, with the group size ``n``.
+
+    Spark's exact ``percentile`` gathers the values of a group in one task, so it
+    serves only while the largest group has at most ``group_rows`` rows. Larger
+    groups go by rank selection.
+    """
+    by = list(by)
     names = list(names or [f"q{round(p * 100)}" for p in probabilities])
-    numbers = df.select(*by, F.col(value).cast("double").alias(value))
+    numbers = df.select(*by, F.col(value).cast("double").alias(value)).where(
+        F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    )
+    for column in by:
+        numbers = numbers.where(F.col(column).isNotNull())
+    largest = numbers.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= group_rows:
+        gathered = numbers.groupBy(*by).agg(
+            F.count("*").alias("n"), F.percentile(value, [float(p) for p in probabilities]).alias("q")
+        )
+        return gathered.select(*by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
     position = {p: (F.col("n") - 1) * F.lit(float(p)) for p in probabilities}
     targets: dict[str, tuple[float, Column]] = {}
     for name, p in zip(names, probabilities):
         targets[f"{name}__lo"] = (p, F.floor(position[p]))
         targets[f"{name}__hi"] = (p, F.ceil(position[p]))
-    found = order_statistics(numbers, value, targets, by, accuracy)
+    found = order_statistics(numbers, value, targets, by)
     out = [
         (F.col(f"{name}__lo") + (F.col(f"{name}__hi") - F.col(f"{name}__lo")) * (position[p] - F.floor(position[p]))).alias(name)
         for name, p in zip(names, probabilities)

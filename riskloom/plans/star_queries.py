@@ -502,5 +502,5 @@ def scalar_functions(spark, sf_dir):
         S.compact_time("ts").alias("sello"),
         F.upper("event_type").alias("mayusculas"),
         F.startswith("event_type", F.lit("s")).alias("empieza"),
-        F.date_trunc("day", "ts").alias("dia"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("dia"),
     )
