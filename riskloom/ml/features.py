@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.selection import order_statistics
@@ -34,29 +37,44 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
-def _facts(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Mean and population deviation of each column as one scalar struct."""
-    parts = []
-    for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        parts += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
-    return df.agg(F.struct(*parts).alias("f")).scalar()
-
-
 def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Columns as z-scores with the population deviation; a constant column becomes 0.
 
     ``fit_on`` supplies the statistics (the training rows); by default ``df``.
+    They are one row, so the scaling itself is a projection. NULLs stay.
     """
-    facts = _facts(df if fit_on is None else fit_on, columns)
+    parts = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        parts += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
+    facts = (df if fit_on is None else fit_on).agg(*parts).first()
     scaled = {}
     for i, c in enumerate(columns):
-        mean, spread = facts.getField(f"m{i}"), facts.getField(f"s{i}")
-        centred = F.col(c).cast("double") - mean
-        scaled[c] = F.when(spread == 0, F.when(centred.isNotNull(), 0.0)).otherwise(F.try_divide(centred, spread))
+        mean, spread = facts[f"m{i}"], facts[f"s{i}"]
+        centred = F.col(c).cast("double") - F.lit(mean)
+        scaled[c] = centred / F.lit(spread) if spread else F.when(centred.isNotNull(), 0.0)
     return df.withColumns(scaled)
 
 
+def standardize_array(
+    df: DataFrame, column: str, output: str = "features", fit_on: DataFrame | None = None
+) -> DataFrame:
+    """An array of numbers as a vector of z-scores (population deviation, constant parts 0).
+
+    For wide inputs: one vector summary instead of two aggregates per column.
+    """
+    point = F.col(column).cast("array<double>")
+    source = (df if fit_on is None else fit_on).select(array_to_vector(point).alias("v"))
+    summary = source.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    facts = summary.select("s.mean", "s.variance", "s.count").first()
+    rows = facts["count"]
+    spread = [math.sqrt(v * (rows - 1) / rows) for v in facts["variance"].toArray()]
+    mean = F.array(*[F.lit(float(m)) for m in facts["mean"].toArray()])
+    inverse = F.array(*[F.lit(1.0 / d if d else 0.0) for d in spread])
+    scaled = F.zip_with(F.zip_with(point, mean, lambda x, m: x - m), inverse, lambda x, w: x * w)
+    return df.withColumn(output, array_to_vector(scaled))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (classes × n_class)`` per class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n_clase"))
