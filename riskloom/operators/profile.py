@@ -63,17 +63,17 @@ def box_statistics(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     Whiskers are the extreme values inside ``q1 - 1.5 iqr`` and ``q3 + 1.5 iqr``.
     """
     by = list(by)
-    numbers = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    numbers = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     reach = F.lit(1.5) * (F.col("q75") - F.col("q25"))
-    boxes = exact_quantiles(numbers, "v", [0.25, 0.5, 0.75], by).select(
+    boxes = exact_quantiles(numbers, "__v", [0.25, 0.5, 0.75], by).select(
         *by, "n", "q25", "q50", "q75",
         (F.col("q25") - reach).alias("cerca_inf"),
         (F.col("q75") + reach).alias("cerca_sup"),
     )
-    inside = F.col("v").between(F.col("cerca_inf"), F.col("cerca_sup"))
+    inside = F.col("__v").between(F.col("cerca_inf"), F.col("cerca_sup"))
     measures = [
-        F.min(F.when(inside, F.col("v"))).alias("bigote_inf"),
-        F.max(F.when(inside, F.col("v"))).alias("bigote_sup"),
+        F.min(F.when(inside, F.col("__v"))).alias("bigote_inf"),
+        F.max(F.when(inside, F.col("__v"))).alias("bigote_sup"),
         F.count_if(~inside).alias("atipicos"),
     ]
     keep = ["n", "q25", "q50", "q75", "cerca_inf", "cerca_sup"]
@@ -94,14 +94,14 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
 
     Empty bins are kept with 0. With ``by`` every class has the same bins.
     """
-    numbers = df.select(*([by] if by else []), F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v")
+    numbers = df.select(*([by] if by else []), F.col(value).cast("double").alias("__v")).where(
+        F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    span = numbers.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
+    span = numbers.agg(F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi")).alias("s")).scalar()
     lo, hi = span.getField("lo"), span.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     place = F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - lo) / F.when(width == 0, 1.0).otherwise(width)), F.lit(bins - 1))
+        F.least(F.floor((F.col("__v") - lo) / F.when(width == 0, 1.0).otherwise(width)), F.lit(bins - 1))
     )
     keys = [by] if by else []
     counts = numbers.withColumn("bin", place.cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))

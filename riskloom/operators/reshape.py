@@ -57,8 +57,8 @@ def majority_class(df: DataFrame, group: str, label: str) -> DataFrame:
     Counts by (group, label) are combined map-side, so a hot group costs one
     row per task.
     """
-    counts = df.groupBy(group, label).agg(F.count("*").alias("c"))
-    return counts.groupBy(group).agg(F.max_by(label, F.struct(F.col("c"), -F.col(label))).alias("majority"))
+    counts = df.groupBy(group, label).agg(F.count("*").alias("__c"))
+    return counts.groupBy(group).agg(F.max_by(label, F.struct(F.col("__c"), -F.col(label))).alias("majority"))
 
 
 def counts_side_by_side(tables: Mapping[str, DataFrame]) -> DataFrame:

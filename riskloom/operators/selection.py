@@ -48,50 +48,50 @@ def order_statistics(
     probes = sorted(
         {min(max(fraction + d, 0.0), 1.0) for fraction, _ in targets.values() for d in (-margin, margin)}
     )
-    values = df.select(*by, F.col(value).alias("v")).where(_present(df, value))
-    sketch = values.groupBy(*by).agg(F.percentile_approx("v", probes, accuracy).alias("cuts"))
+    values = df.select(*by, F.col(value).alias("__v")).where(_present(df, value))
+    sketch = values.groupBy(*by).agg(F.percentile_approx("__v", probes, accuracy).alias("__cuts"))
     if by:
         cuts, local = keep_local(sketch)
         placed = values.join(F.broadcast(cuts) if local else cuts, by)
     else:
-        found = sketch.first()["cuts"] or []
+        found = sketch.first()["__cuts"] or []
         kind = df.schema[value].dataType
-        placed = values.withColumn("cuts", F.array(*[F.lit(c).cast(kind) for c in found]))
+        placed = values.withColumn("__cuts", F.array(*[F.lit(c).cast(kind) for c in found]))
         probes = probes[: len(found)]
-    slot = reduce(lambda a, b: a + b, [(F.col("v") > F.col("cuts")[i]).cast("int") for i in range(len(probes))], F.lit(0))
-    placed = placed.select(*by, "v", slot.alias("slot"))
+    slot = reduce(lambda a, b: a + b, [(F.col("__v") > F.col("__cuts")[i]).cast("int") for i in range(len(probes))], F.lit(0))
+    placed = placed.select(*by, "__v", slot.alias("__slot"))
 
     group = Window.partitionBy(*by)
     intervals = (
-        placed.groupBy(*by, "slot")
-        .agg(F.count("*").alias("c"))
-        .withColumn("n", F.sum("c").over(group))
-        .withColumn("start", F.sum("c").over(group.orderBy("slot")) - F.col("c"))
+        placed.groupBy(*by, "__slot")
+        .agg(F.count("*").alias("__c"))
+        .withColumn("n", F.sum("__c").over(group))
+        .withColumn("__start", F.sum("__c").over(group.orderBy("__slot")) - F.col("__c"))
     )
     wanted = (
         intervals.withColumn(
-            "t",
+            "__t",
             F.explode(
-                F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, (_, r) in targets.items()])
+                F.array(*[F.struct(F.lit(k).alias("__name"), r.cast("long").alias("__rank")) for k, (_, r) in targets.items()])
             ),
         )
-        .select(*by, "slot", "start", "c", "n", "t.name", "t.rank")
-        .where("rank >= start and rank < start + c")
-        .drop("c")
+        .select(*by, "__slot", "__start", "__c", "n", "__t.__name", "__t.__rank")
+        .where("__rank >= __start and __rank < __start + __c")
+        .drop("__c")
     )
     wanted, local = keep_local(wanted)
     hint = F.broadcast if local else (lambda frame: frame)
-    inside = Window.partitionBy(*by, "slot").orderBy("v")
+    inside = Window.partitionBy(*by, "__slot").orderBy("__v")
     runs = (
-        placed.join(hint(wanted.select(*by, "slot", "start").distinct()), [*by, "slot"])
-        .groupBy(*by, "slot", "start", "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.col("start") + F.sum("c").over(inside))
-        .select(*by, "slot", "v", (F.col("upto") - F.col("c")).alias("since"), "upto")
+        placed.join(hint(wanted.select(*by, "__slot", "__start").distinct()), [*by, "__slot"])
+        .groupBy(*by, "__slot", "__start", "__v")
+        .agg(F.count("*").alias("__c"))
+        .withColumn("__upto", F.col("__start") + F.sum("__c").over(inside))
+        .select(*by, "__slot", "__v", (F.col("__upto") - F.col("__c")).alias("__since"), "__upto")
     )
-    hits = runs.join(hint(wanted), [*by, "slot"]).where("rank >= since and rank < upto")
+    hits = runs.join(hint(wanted), [*by, "__slot"]).where("__rank >= __since and __rank < __upto")
     return hits.groupBy(*by).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in targets]
+        F.max("n").alias("n"), *[F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in targets]
     )
 
 

@@ -111,11 +111,11 @@ def count_by_label(facts: DataFrame, key: str, catalog: DataFrame, catalog_key:
     Facts are counted by id before they meet the catalog, so the join sees one
     row per id.
     """
-    per_id = facts.groupBy(F.col(key).alias(catalog_key)).agg(F.count("*").alias("c"))
+    per_id = facts.groupBy(F.col(key).alias(catalog_key)).agg(F.count("*").alias("__c"))
     return (
         per_id.join(F.broadcast(catalog.select(catalog_key, label)), catalog_key)
         .groupBy(label)
-        .agg(F.sum("c").alias("cantidad"))
+        .agg(F.sum("__c").alias("cantidad"))
     )
 
 
