@@ -56,18 +56,50 @@ def orphans(fk: ForeignKey) -> DataFrame:
         .agg(F.count("*").alias("filas"))
     )
     parents = fk.parent.select(F.col(fk.parent_key).cast("long").alias("clave"))
-    return keys.join(F.broadcast(parents) if fk.parent_is_catalog else parents, "clave", "left_anti")
+    return keys.join(F.broadcast(parents) if fk.parent_is_catalog else parents, "clave", "left_anti").select(
+        F.lit(fk.name).alias("restriccion"), "clave", "filas"
+    )
+
+
+def _catalog_orphans(keys: Sequence[ForeignKey]) -> DataFrame:
+    """The same for several keys of one child into catalogs: one scan of the child."""
+    child = keys[0].child
+    pairs = child.select(*[F.col(fk.child_key).cast("long").alias(fk.name) for fk in keys])
+    counts = (
+        pairs.unpivot([], [fk.name for fk in keys], "restriccion", "clave")
+        .where(F.col("clave").isNotNull())
+        .groupBy("restriccion", "clave")
+        .agg(F.count("*").alias("filas"))
+    )
+    known = reduce(
+        DataFrame.unionByName,
+        [
+            fk.parent.select(F.lit(fk.name).alias("restriccion"), F.col(fk.parent_key).cast("long").alias("clave"))
+            for fk in keys
+        ],
+    )
+    return counts.join(F.broadcast(known), ["restriccion", "clave"], "left_anti")
 
 
 def orphan_report(keys: Sequence[ForeignKey]) -> DataFrame:
     """One row per constraint: orphaned key values and orphaned rows."""
-    parts = [
-        orphans(fk).agg(
-            F.count("*").alias("claves_huerfanas"), F.coalesce(F.sum("filas"), F.lit(0)).alias("filas_huerfanas")
-        ).select(F.lit(fk.name).alias("restriccion"), "claves_huerfanas", "filas_huerfanas")
-        for fk in keys
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    by_child: dict[int, list[ForeignKey]] = {}
+    parts = []
+    for fk in keys:
+        if fk.parent_is_catalog:
+            by_child.setdefault(id(fk.child), []).append(fk)
+        else:
+            parts.append(orphans(fk))
+    parts += [_catalog_orphans(group) for group in by_child.values()]
+    found = reduce(DataFrame.unionByName, parts)
+    names = [F.struct(F.lit(fk.name).alias("restriccion")) for fk in keys]
+    every = keys[0].child.sparkSession.range(1).select(F.inline(F.array(*names)))
+    sums = found.groupBy("restriccion").agg(F.count("*").alias("claves"), F.sum("filas").alias("filas"))
+    return every.join(F.broadcast(sums), "restriccion", "left").select(
+        "restriccion",
+        F.coalesce("claves", F.lit(0)).alias("claves_huerfanas"),
+        F.coalesce("filas", F.lit(0)).alias("filas_huerfanas"),
+    )
 
 
 def rule_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -102,10 +102,10 @@ def check_batch(batch: DataFrame) -> None:
     clients = batch.select(
         F.col("ID").alias("id_cliente"), F.col("SEX").alias("id_sexo"), F.col("EDUCATION").alias("id_educacion"),
         F.col("MARRIAGE").alias("id_estado_civil"), F.col("AGE").alias("edad"), F.col("LIMIT_BAL").alias("limite_credito"),
+        F.col(TARGET_COLUMN).alias("incumplimiento_proximo_mes"),
     )
     checks = [
-        (clients, client_rules() | unknown("id_sexo", "id_educacion", "id_estado_civil")),
-        (targets_from(batch), target_rules()),
+        (clients, client_rules() | target_rules() | unknown("id_sexo", "id_educacion", "id_estado_civil")),
         (history, history_rules() | unknown("id_mes", "id_estatus_pago")),
     ]
     broken: dict[str, int] = {}
@@ -130,13 +130,12 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
     report counts the batch, not the inserts.
     """
     require_positive(n)
-    total = staging.count()
-    if total == 0:
+    sizes = staging.agg(F.count("*").alias("rows"), F.count("ID").alias("keyed")).first()
+    if sizes["rows"] == 0:
         raise ValueError("no rows in staging")
-    nulls = staging.where(F.col("ID").isNull()).count()
-    if nulls:
+    if sizes["keyed"] < sizes["rows"]:
         raise ValueError("batch rejected, nothing written: staging rows without ID come first")
-    batch, _ = split_first_n(staging, "ID", n)
+    batch, _ = split_first_n(staging, "ID", n, sizes["keyed"])
     check_batch(batch)
     remaining = without_ids(staging, "ID", batch, "ID")
     counted = batch.agg(F.count("*").alias("c"), F.lit("m").alias("kind")).unionByName(
@@ -166,17 +165,17 @@ def delete_first_n(staging: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     deleted. Rows that tie on the last id go in whole-row order.
     """
     require_positive(n)
-    total = staging.count()
-    nulls = staging.where(F.col("ID").isNull()).count()
+    sizes = staging.agg(F.count("*").alias("rows"), F.count("ID").alias("keyed")).first()
+    total, nulls = sizes["rows"], sizes["rows"] - sizes["keyed"]
     keyed = staging.where(F.col("ID").isNotNull())
     places = n - nulls
     deleted, remaining = 0, staging
     if places > 0 and total > nulls:
-        chosen, _ = split_first_n(keyed, "ID", places)
+        chosen, _ = split_first_n(keyed, "ID", places, sizes["keyed"])
         last = chosen.agg(F.max("ID")).first()[0]
         matching = keyed.where(F.col("ID") <= F.lit(last)).count()
         deleted = min(n, matching)
-        _, remaining = split_first_n(staging, "ID", deleted)
+        _, remaining = split_first_n(staging, "ID", deleted, sizes["keyed"])
     report = staging.sparkSession.createDataFrame(
         [(n, deleted, total - deleted)],
         "registros_solicitados int, registros_eliminados long, registros_restantes_staging long",

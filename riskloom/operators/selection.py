@@ -29,6 +29,7 @@ def order_statistics(
     targets: Mapping[str, tuple[float, Column]],
     by: Sequence[str] = (),
     accuracy: int = SKETCH_ACCURACY,
+    group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """The values found at given ranks, exactly, per group.
 
@@ -36,26 +37,57 @@ def order_statistics(
     0-based rank written over the column ``n`` (rows in the group), ``fraction``
     its rough place in [0, 1]. NULL and NaN values and NULL groups are left out.
 
+    Rows are counted per value first (map-side combined). While no group has
+    more than ``group_rows`` rows, one running count per group finds the ranks.
+    Larger groups take three passes:
+
     1. A mergeable sketch gives two cut points around each target.
-    2. Rows between cut points are counted (map-side combined).
+    2. Rows between cut points are counted.
     3. Only the intervals that hold a target are counted value by value, and
        the running count inside an interval (about ``4 / accuracy`` of the
        group) finds the value. A poor sketch makes an interval longer, never
        the answer wrong.
     """
     by = list(by)
+    present = df.select(*by, F.col(value).alias("__v")).where(_present(df, value))
+    for column in by:
+        present = present.where(F.col(column).isNotNull())
+    sizes, local = keep_local(present.groupBy(*by).agg(F.count("*").alias("n")))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= group_rows:
+        return _ranks_by_window(present, targets, by, F.broadcast(sizes) if local else sizes, largest)
+    return _ranks_by_sketch(present, targets, by, accuracy)
+
+
+def _ranks_by_window(
+    values: DataFrame, targets: Mapping[str, tuple[float, Column]], by: list[str], sizes: DataFrame, largest: int
+) -> DataFrame:
+    run = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = values.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    sized = counts.join(sizes, by) if by else counts.withColumn("n", F.lit(largest))
+    runs = sized.withColumn("__upto", F.sum("__c").over(run))
+    since = F.col("__upto") - F.col("__c")
+    found = [
+        F.max(F.when((rank.cast("long") >= since) & (rank.cast("long") < F.col("__upto")), F.col("__v"))).alias(name)
+        for name, (_, rank) in targets.items()
+    ]
+    return runs.groupBy(*by).agg(F.max("n").alias("n"), *found)
+
+
+def _ranks_by_sketch(
+    values: DataFrame, targets: Mapping[str, tuple[float, Column]], by: list[str], accuracy: int
+) -> DataFrame:
     margin = 2.0 / accuracy
     probes = sorted(
         {min(max(fraction + d, 0.0), 1.0) for fraction, _ in targets.values() for d in (-margin, margin)}
     )
-    values = df.select(*by, F.col(value).alias("__v")).where(_present(df, value))
     sketch = values.groupBy(*by).agg(F.percentile_approx("__v", probes, accuracy).alias("__cuts"))
     if by:
         cuts, local = keep_local(sketch)
         placed = values.join(F.broadcast(cuts) if local else cuts, by)
     else:
         found = sketch.first()["__cuts"] or []
-        kind = df.schema[value].dataType
+        kind = values.schema["__v"].dataType
         placed = values.withColumn("__cuts", F.array(*[F.lit(c).cast(kind) for c in found]))
         probes = probes[: len(found)]
     slot = reduce(lambda a, b: a + b, [(F.col("__v") > F.col("__cuts")[i]).cast("int") for i in range(len(probes))], F.lit(0))
@@ -81,7 +113,7 @@ def order_statistics(
     )
     wanted, local = keep_local(wanted)
     hint = F.broadcast if local else (lambda frame: frame)
-    inside = Window.partitionBy(*by, "__slot").orderBy("__v")
+    inside = Window.partitionBy(*by, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         placed.join(hint(wanted.select(*by, "__slot", "__start").distinct()), [*by, "__slot"])
         .groupBy(*by, "__slot", "__start", "__v")
@@ -110,31 +142,16 @@ def exact_quantiles(
     names: Sequence[str] | None = None,
     group_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Quantiles by linear interpolation, per group, with the group size ``n``.
-
-    Spark's exact ``percentile`` gathers the values of a group in one task, so it
-    serves only while the largest group has at most ``group_rows`` rows. Larger
-    groups go by rank selection.
-    """
+    """Quantiles by linear interpolation between order statistics, per group, with its size ``n``."""
     by = list(by)
     names = list(names or [f"q{round(p * 100)}" for p in probabilities])
-    numbers = df.select(*by, F.col(value).cast("double").alias(value)).where(
-        F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    )
-    for column in by:
-        numbers = numbers.where(F.col(column).isNotNull())
-    largest = numbers.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= group_rows:
-        gathered = numbers.groupBy(*by).agg(
-            F.count("*").alias("n"), F.percentile(value, [float(p) for p in probabilities]).alias("q")
-        )
-        return gathered.select(*by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+    numbers = df.select(*by, F.col(value).cast("double").alias(value))
     position = {p: (F.col("n") - 1) * F.lit(float(p)) for p in probabilities}
     targets: dict[str, tuple[float, Column]] = {}
     for name, p in zip(names, probabilities):
         targets[f"{name}__lo"] = (p, F.floor(position[p]))
         targets[f"{name}__hi"] = (p, F.ceil(position[p]))
-    found = order_statistics(numbers, value, targets, by)
+    found = order_statistics(numbers, value, targets, by, group_rows=group_rows)
     out = [
         (F.col(f"{name}__lo") + (F.col(f"{name}__hi") - F.col(f"{name}__lo")) * (position[p] - F.floor(position[p]))).alias(name)
         for name, p in zip(names, probabilities)
@@ -189,15 +206,15 @@ def running_totals(
 TOP_ON_DRIVER = 10_000
 
 
-def split_first_n(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+def split_first_n(df: DataFrame, key: str, n: int, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The ``n`` rows with the smallest ``key`` (ties by the whole row), and the rest.
 
     Rows with a NULL key belong to the rest. The n-th key is found by counting;
     only rows that tie with it need ranking, identical copies as one row with a
-    count.
+    count. ``total`` is the number of rows with a key, if the caller knows it.
     """
     keyed = df.where(F.col(key).isNotNull())
-    total = keyed.count()
+    total = keyed.count() if total is None else total
     if n >= total:
         return keyed, df.where(F.col(key).isNull())
     if n <= 0:

@@ -10,7 +10,7 @@ from riskloom.operators.selection import split_first_n
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
 from riskloom.schemas import BILL_COLUMNS, MONTH_COLUMNS, PAID_COLUMNS, PAY_COLUMNS, STAGING_SCHEMA
-from riskloom.session import scratch_path
+from riskloom.session import materialize, scratch_path
 from riskloom.sources import csvfiles, documents, tables
 from riskloom.sources.batches import CreditStore
 
@@ -31,7 +31,9 @@ def staging_preview(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    return migration.migrate_batch(b.staging(spark, sf_dir), b.loaded_star(spark, sf_dir), BATCH)
+    """One batch from a frozen staging table, as staging is a stored table."""
+    frozen = materialize(b.staging(spark, sf_dir), "staging")
+    return migration.migrate_batch(frozen, b.loaded_star(spark, sf_dir), BATCH)
 
 
 @query(

@@ -60,15 +60,16 @@ def _box_sql(source: str, group: str) -> str:
     return f"""q AS (SELECT {group}, count(value) AS n, quantile_cont(value, 0.25) AS q25,
     quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM {source} GROUP BY {group}),
   f AS (SELECT *, q25 - 1.5::DOUBLE * (q75 - q25) AS cerca_inf, q75 + 1.5::DOUBLE * (q75 - q25) AS cerca_sup FROM q)
-  SELECT {group}, n, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75,
-    round(cerca_inf, 4) AS cerca_inf, round(cerca_sup, 4) AS cerca_sup,
+  SELECT {group}, n, round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75,
+    round(cerca_inf, 6) AS cerca_inf, round(cerca_sup, 6) AS cerca_sup,
     min(value) FILTER (WHERE value BETWEEN cerca_inf AND cerca_sup) AS bigote_inf,
     max(value) FILTER (WHERE value BETWEEN cerca_inf AND cerca_sup) AS bigote_sup,
     count(*) FILTER (WHERE value NOT BETWEEN cerca_inf AND cerca_sup) AS atipicos
   FROM {source} JOIN f USING ({group}) GROUP BY ALL"""
 
 
-_BOX_ROUND = dict.fromkeys(["q25", "q50", "q75", "cerca_inf", "cerca_sup"], 4)
+# prices have two decimals, so fences have at most five: six digits cannot tie
+_BOX_ROUND = dict.fromkeys(["q25", "q50", "q75", "cerca_inf", "cerca_sup"], 6)
 
 
 @query(

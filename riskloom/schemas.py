@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 MONEY = T.DecimalType(18, 2)
 
@@ -131,7 +133,9 @@ _CATALOGS = {
 def catalog(spark: SparkSession, name: str) -> DataFrame:
     """One of the five fixed catalogs (12 rows at most, so always safe to broadcast)."""
     schema, rows = _CATALOGS[name]
-    return spark.createDataFrame(rows, schema)
+    columns = T.StructType.fromDDL(schema)
+    cells = [pa.array(values, to_arrow_type(f.dataType)) for values, f in zip(zip(*rows), columns.fields)]
+    return spark.createDataFrame(pa.table(cells, names=columns.names), columns)
 
 
 @dataclass(frozen=True)

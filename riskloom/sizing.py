@@ -16,8 +16,8 @@ def keep_local(df: DataFrame, limit: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, b
     At most ``limit + 1`` rows ever reach the driver. A larger frame comes back
     unchanged with ``False``; the caller then joins it with a shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
