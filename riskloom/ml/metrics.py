@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.selection import running_totals
+from riskloom.operators.selection import WINDOW_ROWS, running_totals
 
 LABELS = (0, 1)
 
@@ -108,29 +108,29 @@ def _score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
-def roc_curve(df: DataFrame, truth: str, score: str, window_rows: int | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, truth: str, score: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """ROC points: one per distinct score, from (0, 0) to (1, 1).
 
     Rows are first counted per distinct score, so ties are one point.
     """
     counts = _score_counts(df, truth, score)
-    extra = {} if window_rows is None else {"window_rows": window_rows}
-    runs = running_totals(counts, "umbral", ["pos", "neg"], descending=True, **extra)
-    totals = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
+    facts = counts.agg(F.count("*").alias("rows"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    runs = running_totals(counts, "umbral", ["pos", "neg"], descending=True, window_rows=window_rows, rows=facts["rows"])
     points = runs.select(
         F.col("umbral").cast("double").alias("umbral"),
-        _ratio(F.col("cum_neg"), totals.getField("n")).alias("fpr"),
-        _ratio(F.col("cum_pos"), totals.getField("p")).alias("tpr"),
+        _ratio(F.col("cum_neg"), F.lit(facts["neg"])).alias("fpr"),
+        _ratio(F.col("cum_pos"), F.lit(facts["pos"])).alias("tpr"),
+    )
+    origin = df.sparkSession.range(1).select(
+        F.lit(float("inf")).alias("umbral"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    origin = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], points.schema)
     return points.unionByName(origin)
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, window_rows: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Area under the ROC curve by trapezoids: per score, its negatives × (positives above + half its own)."""
     counts = _score_counts(df, truth, score)
-    extra = {} if window_rows is None else {"window_rows": window_rows}
-    runs = running_totals(counts, "umbral", ["pos"], descending=True, **extra)
+    runs = running_totals(counts, "umbral", ["pos"], descending=True, window_rows=window_rows)
     above = F.col("cum_pos") - F.col("pos")
     area = F.sum(
         F.col("neg").cast("decimal(19,0)") * (above * 2 + F.col("pos")).cast("decimal(19,0)")

@@ -166,16 +166,18 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     window_rows: int = WINDOW_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<measure>`` columns: running sums in the order of ``order_by``.
 
     ``df`` must hold one row per (``by``, ``order_by``), so aggregate first. Up to
     ``window_rows`` rows one window does it. Beyond that the order column is cut
     into ranges at fixed quantiles, each range is summed, and a window inside
-    each range starts from the total of the ranges before it.
+    each range starts from the total of the ranges before it. ``rows`` is the
+    row count, if the caller knows it.
     """
     by = list(by)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
 
     def ordered(col: str) -> Column:
         return F.col(col).desc() if descending else F.col(col).asc()

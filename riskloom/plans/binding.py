@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.reshape import pivot_history
+from riskloom.operators.star import ml_dataset
 from riskloom.schemas import (
     BILL_COLUMNS,
     EDUCATION_ROWS,
@@ -26,6 +27,7 @@ from riskloom.schemas import (
     TARGET_COLUMN,
     CreditStar,
 )
+from riskloom.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,11 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_dataset(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the ML dataset as a written table, for statistics that read them several times."""
+    return materialize(ml_dataset(star(spark, sf_dir)).select(*columns), "dataset")
+
+
 def loaded_star(spark: SparkSession, sf_dir: str) -> CreditStar:
     """The star as it stands before a batch: every third client is loaded already."""
     whole = star(spark, sf_dir)

@@ -88,7 +88,9 @@ def box_age_by_sex(spark, sf_dir):
     + _box_sql("limites", "target")
 )
 def box_limit_by_target(spark, sf_dir):
-    boxes = profile.box_statistics(star_ops.ml_dataset(b.star(spark, sf_dir)), "limite_credito", ["target"])
+    boxes = profile.box_statistics(
+        b.stored_dataset(spark, sf_dir, "target", "limite_credito"), "limite_credito", ["target"]
+    )
     return _rounded(boxes, _BOX_ROUND)
 
 
@@ -153,13 +155,13 @@ def _target_corr(digits: int = 6) -> str:
 
 @query(_target_corr() + " SELECT variable, round(r, 6) AS r FROM c")
 def target_correlation(spark, sf_dir):
-    data = star_ops.ml_dataset(b.star(spark, sf_dir))
+    data = b.stored_dataset(spark, sf_dir, *_CREDIT, "target")
     return _rounded(profile.target_correlation(data, "target", _CREDIT), {"r": 6})
 
 
 @query(_target_corr() + " SELECT variable, round(abs(r), 6) AS r_abs FROM c ORDER BY abs(r) DESC LIMIT 10")
 def top_correlations(spark, sf_dir):
-    data = star_ops.ml_dataset(b.star(spark, sf_dir))
+    data = b.stored_dataset(spark, sf_dir, *_CREDIT, "target")
     return _rounded(profile.top_correlations(data, "target", 10, _CREDIT), {"r_abs": 6})
 
 
@@ -174,7 +176,7 @@ def top_correlations(spark, sf_dir):
   FROM k a JOIN k d USING (id_cliente) GROUP BY a.variable, d.variable"""
 )
 def correlation_submatrix(spark, sf_dir):
-    data = star_ops.ml_dataset(b.star(spark, sf_dir))
+    data = b.stored_dataset(spark, sf_dir, *_CREDIT, "target")
     return _rounded(profile.top_correlation_matrix(data, "target", 3, _CREDIT), {"r": 6})
 
 

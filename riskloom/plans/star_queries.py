@@ -315,9 +315,8 @@ def group_profile(spark, sf_dir):
   FROM vw_ml_dataset GROUP BY id_educacion"""
 )
 def group_stats(spark, sf_dir):
-    return aggregates.group_statistics(
-        star_ops.ml_dataset(b.star(spark, sf_dir)), "id_educacion", "limite_credito", "edad", "target"
-    )
+    data = b.stored_dataset(spark, sf_dir, "id_educacion", "limite_credito", "edad", "target")
+    return aggregates.group_statistics(data, "id_educacion", "limite_credito", "edad", "target")
 
 
 @query(
