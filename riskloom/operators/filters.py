@@ -107,7 +107,8 @@ def in_list(column: str, values: Sequence[Any], negate: bool = False) -> Column:
 
 def since_start_of_day(column: str, now: datetime) -> Column:
     """Rows not older than the start of the day of ``now``."""
-    return F.col(column) >= F.date_trunc("day", F.lit(now))
+    moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    return F.col(column) >= F.date_trunc("day", moment)
 
 
 def complete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -105,15 +105,12 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
     )
     keys = [by] if by else []
     counts = numbers.withColumn("bin", place.cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    numbered = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    if by:
-        frame = counts.select(by).distinct().select(by, numbered)
-        filled = frame.join(counts, [by, "bin"], "left")
-    else:
-        frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-        filled = frame.join(counts, "bin", "left")
-    return filled.select(
-        *keys, "bin", (lo + F.col("bin") * width).alias("desde"), F.coalesce("n", F.lit(0)).alias("n")
+    filled = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__m"))
+    return filled.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "__m").select(
+        *keys,
+        "bin",
+        (lo + F.col("bin") * width).alias("desde"),
+        F.coalesce(F.try_element_at("__m", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

@@ -23,7 +23,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_agrees_with_sql(spark, duck, name):
     got = contract.queries()[name](spark, SF).toArrow()
-    want = duck.execute(contract.oracle_sql()[name]).to_arrow_table()
+    want = duck.sql(contract.oracle_sql()[name]).to_arrow_table()
     assert rows(got) == rows(want)
 
 
