@@ -204,18 +204,16 @@ def experiment_log(spark, sf_dir):
         found = clustering.silhouette(model.transform(rows))
         total = rows.count()
     path = scratch_path(spark, "experiments")
-    documents.append_documents(
-        documents.experiment(
-            spark,
-            "2024-01-31T00:00:00",
-            "K-Means",
-            {"n_clusters": 3, "random_state": 42, "n_init": 10, "max_iter": 300},
-            {
-                "silhouette_score": round(found, 4),
-                "inertia": round(model.summary.trainingCost, 2),
-                "total_registros_procesados": total,
-            },
-        ),
+    documents.append_experiment(
+        spark,
         path,
+        "2024-01-31T00:00:00",
+        "K-Means",
+        {"n_clusters": 3, "random_state": 42, "n_init": 10, "max_iter": 300},
+        {
+            "silhouette_score": round(found, 4),
+            "inertia": round(model.summary.trainingCost, 2),
+            "total_registros_procesados": total,
+        },
     )
     return documents.flatten_documents(documents.read_documents(spark, path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -16,17 +17,19 @@ from riskloom.schemas import EXPERIMENT_SCHEMA
 ABSENT = "N/A"
 
 
-def experiment(
-    spark: SparkSession, date: str, algorithm: str, parameters: Mapping[str, Any], metrics: Mapping[str, Any]
-) -> DataFrame:
-    """One run as a one-row document frame."""
-    text = {k: str(v) for k, v in parameters.items()}
-    values = {k: str(v) for k, v in metrics.items()}
-    return spark.createDataFrame([(date, algorithm, text, values)], EXPERIMENT_SCHEMA)
+def append_experiment(
+    spark: SparkSession, path: str, date: str, algorithm: str, parameters: Mapping[str, Any], metrics: Mapping[str, Any]
+) -> None:
+    """Append one run as a nested JSON document; numbers stay numbers."""
+    document = {
+        "fecha": date, "algoritmo": algorithm, "hiperparametros": dict(parameters), "metricas": dict(metrics)
+    }
+    line = spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string")
+    line.coalesce(1).write.mode("append").text(path)
 
 
 def append_documents(documents: DataFrame, path: str) -> None:
-    """Append documents as JSON lines."""
+    """Append a frame of documents as JSON lines."""
     documents.write.mode("append").json(path)
 
 

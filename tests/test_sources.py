@@ -78,14 +78,13 @@ def test_jdbc_needs_all_range_arguments(spark):
 
 def test_documents(spark):
     path = scratch_path(spark, "docs")
-    k_means = documents.experiment(
-        spark, "2024-01-02T03:04:05.678", "K-Means", {"n_clusters": 3}, {"silhouette_score": 0.25, "inertia": 12.5}
+    documents.append_experiment(
+        spark, path, "2024-01-02T03:04:05.678", "K-Means", {"n_clusters": 3}, {"silhouette_score": 0.25, "inertia": 12.5}
     )
-    forest = documents.experiment(
-        spark, "2024-01-03T00:00:00", "Random Forest", {"n_estimators": 100}, {"accuracy": 0.8, "f1_score": 0.5}
+    documents.append_experiment(
+        spark, path, "2024-01-03T00:00:00", "Random Forest", {"n_estimators": 100}, {"accuracy": 0.8, "f1_score": 0.5}
     )
-    for d in (k_means, forest):
-        documents.append_documents(d, path)
+    assert '"n_clusters": 3}' in "".join(r["value"] for r in spark.read.text(path).collect())
     Path(path, "empty.json").write_text("{}\n")
     flat = values(documents.flatten_documents(documents.read_documents(spark, path)), "fecha", "algoritmo", "tamano_modelo", "calidad", "inercia_f1", "registros")
     assert flat == [
