@@ -20,6 +20,7 @@ from riskloom.schemas import (
     TARGET_COLUMN,
     CreditStar,
 )
+from riskloom.session import materialize
 
 
 def clients_from(staging: DataFrame) -> DataFrame:
@@ -81,13 +82,13 @@ class BatchResult:
         )
 
 
-def check_batch(batch: DataFrame) -> None:
-    """Raise if the batch would break a key, a NOT NULL, a range or a reference.
+def check_new_rows(unseen: DataFrame, new_targets: DataFrame, new_history: DataFrame) -> None:
+    """Raise if the rows a batch would insert break a key, a NOT NULL, a range or a reference.
 
-    Catalog ids are literals here, so every row rule is one filter; repeated
-    ids are one grouped count. Only the totals reach the driver.
+    ``unseen`` are the staging rows of new clients. Catalog ids are literals
+    here, so every row rule is one filter; repeated ids are one grouped count.
+    Only the totals reach the driver.
     """
-    history = unpivot_history(batch)
     known = {
         "id_sexo": [r[0] for r in SEX_ROWS],
         "id_educacion": [r[0] for r in EDUCATION_ROWS],
@@ -99,14 +100,14 @@ def check_batch(batch: DataFrame) -> None:
     def unknown(*columns: str) -> dict:
         return {f"{c}_sin_catalogo": ~F.col(c).isin(known[c]) for c in columns}
 
-    clients = batch.select(
+    clients = unseen.select(
         F.col("ID").alias("id_cliente"), F.col("SEX").alias("id_sexo"), F.col("EDUCATION").alias("id_educacion"),
         F.col("MARRIAGE").alias("id_estado_civil"), F.col("AGE").alias("edad"), F.col("LIMIT_BAL").alias("limite_credito"),
-        F.col(TARGET_COLUMN).alias("incumplimiento_proximo_mes"),
     )
     checks = [
-        (clients, client_rules() | target_rules() | unknown("id_sexo", "id_educacion", "id_estado_civil")),
-        (history, history_rules() | unknown("id_mes", "id_estatus_pago")),
+        (clients, client_rules() | unknown("id_sexo", "id_educacion", "id_estado_civil")),
+        (new_targets, target_rules()),
+        (new_history, history_rules() | unknown("id_mes", "id_estatus_pago")),
     ]
     broken: dict[str, int] = {}
     for frame, rules in checks:
@@ -114,7 +115,10 @@ def check_batch(batch: DataFrame) -> None:
             *[F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]
         ).first()
         broken |= {name: counts[name] for name in rules if counts[name]}
-    repeated = key_violations(batch.select("ID"), ["ID"]).agg(F.count("*").alias("c")).first()["c"]
+    keys = clients.select("id_cliente", F.lit("c").alias("t")).unionByName(
+        new_targets.select("id_cliente", F.lit("r").alias("t"))
+    )
+    repeated = key_violations(keys, ["t", "id_cliente"]).agg(F.countDistinct("id_cliente").alias("c")).first()["c"]
     if repeated:
         broken["ID_repetido"] = repeated
     if broken:
@@ -124,10 +128,11 @@ def check_batch(batch: DataFrame) -> None:
 def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
     """Move the next ``n`` staging rows (by id) into the three tables.
 
-    Checks run before any result exists. Clients and targets already loaded are
-    skipped; history is skipped only where (client, month, status) is already
-    there. The batch leaves staging whole, also rows that were skipped, and the
-    report counts the batch, not the inserts.
+    Clients and targets already loaded are skipped; history is skipped only
+    where (client, month, status) is already there. The rows to insert are kept
+    in the shared folder, so the comparison with the loaded tables runs once,
+    and are checked before they are returned. The batch leaves staging whole,
+    also rows that were skipped, and the report counts the batch, not the inserts.
     """
     require_positive(n)
     sizes = staging.agg(F.count("*").alias("rows"), F.count("ID").alias("keyed")).first()
@@ -136,7 +141,12 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
     if sizes["keyed"] < sizes["rows"]:
         raise ValueError("batch rejected, nothing written: staging rows without ID come first")
     batch, _ = split_first_n(staging, "ID", n, sizes["keyed"])
-    check_batch(batch)
+    unseen = materialize(without_ids(batch, "ID", star.dim_cliente, "id_cliente"), "lote")
+    new_targets = materialize(new_rows(targets_from(batch), star.riesgo_crediticio, ["id_cliente"]), "lote")
+    new_history = materialize(
+        new_rows(unpivot_history(batch), star.historial_pagos, ["id_cliente", "id_mes", "id_estatus_pago"]), "lote"
+    )
+    check_new_rows(unseen, new_targets, new_history)
     remaining = without_ids(staging, "ID", batch, "ID")
     counted = batch.agg(F.count("*").alias("c"), F.lit("m").alias("kind")).unionByName(
         remaining.agg(F.count("*").alias("c"), F.lit("r").alias("kind"))
@@ -148,11 +158,9 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
     )
     return BatchResult(
         batch=batch,
-        new_clients=new_rows(clients_from(batch), star.dim_cliente, ["id_cliente"]),
-        new_targets=new_rows(targets_from(batch), star.riesgo_crediticio, ["id_cliente"]),
-        new_history=new_rows(
-            unpivot_history(batch), star.historial_pagos, ["id_cliente", "id_mes", "id_estatus_pago"]
-        ),
+        new_clients=clients_from(unseen),
+        new_targets=new_targets,
+        new_history=new_history,
         staging=remaining,
         report=report,
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.ml import classifiers, clustering, features, metrics
@@ -183,17 +184,34 @@ def model_round_trip(spark, sf_dir):
     return first.join(second, ["vec_id", "prediccion", "probabilidad"]).agg(F.count("*").alias("filas"))
 
 
-@query("SELECT count(*) AS filas, count(*) AS ceros FROM embeddings")
+def _scaled_sql(deviation: str) -> str:
+    cells = ", ".join(
+        f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / "
+        f"{deviation}(embedding[{i}]::DOUBLE) OVER (), 6) + 0 AS x{i - 1}"
+        for i in (1, 2, _DIM)
+    )
+    return f"SELECT vec_id, {cells} FROM embeddings"
+
+
+@query(_scaled_sql("stddev_samp"))
 def csv_feature_sink(spark, sf_dir):
-    """Scaled features written as CSV and read back; a scaled column has mean 0, here per row count."""
+    """Scaled features written as CSV with their names and read back."""
     prepared = Pipeline(stages=[features.assembler(_NAMES), features.scaler()])
     rows = _rows(spark, sf_dir)
     path = scratch_path(spark, "features")
-    csvfiles.write_features(prepared.fit(rows).transform(rows), path, "features", _NAMES, "target")
-    schema = ", ".join([*[f"{n} double" for n in _NAMES], "target int"])
+    csvfiles.write_features(prepared.fit(rows).transform(rows), path, "features", _NAMES, "vec_id")
+    schema = ", ".join([*[f"{n} double" for n in _NAMES], "vec_id bigint"])
     back = spark.read.schema(schema).option("header", True).csv(path)
-    whole = back.na.drop("any")
-    return whole.agg(F.count("*").alias("filas"), F.count_if(F.abs("x0") < 1e6).alias("ceros"))
+    return back.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x0", "x1", f"x{_DIM - 1}")])
+
+
+@query(_scaled_sql("stddev_pop"))
+def standardize_vectors(spark, sf_dir):
+    """Whole vectors scaled by the population deviation of each part."""
+    cells = vector_to_array("features")
+    return _scaled(spark, sf_dir).select(
+        "vec_id", *[(F.round(cells[i], 6) + 0.0).alias(f"x{i}") for i in (0, 1, _DIM - 1)]
+    )
 
 
 @query()

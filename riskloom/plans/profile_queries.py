@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.ml import clustering, features, metrics
-from riskloom.operators import profile
+from riskloom.operators import profile, reshape
 from riskloom.operators import star as star_ops
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
@@ -143,7 +143,10 @@ def correlation_matrix(spark, sf_dir):
     return _rounded(profile.correlation_matrix(b.table(spark, sf_dir, "lineitem"), _LINE), {"r": 6})
 
 
-_CREDIT = ["edad", "limite_credito", "PAY_0", "PAY_2", "PAY_3", "BILL_AMT1", "BILL_AMT2", "BILL_AMT3", "PAY_AMT1", "PAY_AMT2", "PAY_AMT3"]
+_CREDIT = [
+    "edad", "limite_credito", "PAY_0", "PAY_2", "PAY_3", "BILL_AMT1", "BILL_AMT2", "BILL_AMT3",
+    "PAY_AMT1", "PAY_AMT2", "PAY_AMT3",
+]
 
 
 def _target_corr(digits: int = 6) -> str:
@@ -328,7 +331,8 @@ def impute_means_batch(spark, sf_dir):
     return _rounded(filled.drop("c_mktsegment"), {"c_acctbal": 6, "c_nationkey": 6})
 
 
-_CENTRES_SQL = """WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+_CENTRES_SQL = """WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
+    generate_subscripts(embedding, 1) AS i FROM embeddings),
   centres AS (SELECT label, i, avg(x) AS m FROM cells GROUP BY label, i),
   gaps AS (SELECT vec_id, c.label, sum((x - m) * (x - m)) AS d FROM cells JOIN centres c USING (i) GROUP BY vec_id, c.label),
   best AS (SELECT vec_id, arg_min(label, d) AS cluster, min(d) AS d FROM gaps GROUP BY vec_id)"""
@@ -359,9 +363,7 @@ _TARGETS_SQL = _CENTRES_SQL + """, filas AS (SELECT vec_id, cluster, CAST((vec_i
 
 @query(_TARGETS_SQL + " SELECT cluster, clase AS majority FROM mayor")
 def majority_class_by_cluster(spark, sf_dir):
-    from riskloom.operators.reshape import majority_class
-
-    return majority_class(_clustered(spark, sf_dir), "cluster", "target")
+    return reshape.majority_class(_clustered(spark, sf_dir), "cluster", "target")
 
 
 @query(

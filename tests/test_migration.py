@@ -62,6 +62,16 @@ def test_existing_client_is_left_alone(spark):
     assert got.new_history.count() == 6
 
 
+def test_rules_apply_to_inserted_rows_only(spark):
+    now = star(spark, [client(4)], [(4, 1)])
+    twice = staging(spark, staging_row(4, SEX=9), staging_row(4, PAY_0=1))
+    got = migration.migrate_batch(twice, now, 5)
+    assert report(got) == (5, 2, 0)
+    assert got.new_clients.count() == 0 and got.new_history.count() == 12
+    with pytest.raises(ValueError, match="ID_repetido"):
+        migration.migrate_batch(twice, CreditStar(now.dim_cliente, now.riesgo_crediticio.where("false"), now.historial_pagos), 5)
+
+
 def test_changed_status_is_a_new_history_row(spark):
     now = star(spark, [client(7)], [(7, 0)], [(7, 1, 0, None, None)])
     got = migration.migrate_batch(staging(spark, staging_row(7, PAY_0=2)), now, 1)

@@ -74,7 +74,10 @@ def test_kmeans_finds_the_groups(blobs):
     assert max(scan, key=lambda r: r["silueta"])["k"] == 3
     predicted = clustering.predict_by_majority(got, "cluster", "y")
     assert metrics.classification_report(predicted, "y", "prediccion").where("clase = 'accuracy'").first()["f1"] == pytest.approx(115 / 120)
-    assert clustering.centre_table(model, rows, NAMES).count() == 3
+    table = clustering.centre_table(model, rows, NAMES)
+    centres = table.select(F.col("cluster").alias("k"), F.array(*NAMES).alias("centro"))
+    direct = clustering.nearest_centre(blobs.withColumn("v", F.array(*NAMES)), "v", centres, "k")
+    assert values(direct, "id", "cluster") == values(got, "id", "cluster")
     rows.unpersist()
 
 

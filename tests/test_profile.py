@@ -66,7 +66,8 @@ def test_density_equals_the_direct_sum(spark):
 
 
 def test_correlation_pairwise_and_constant(spark, numbers):
-    out = {(r["x"], r["y"]): r["r"] for r in profile.correlation_matrix(numbers.withColumn("k", F.lit(1.0)), ["a", "b", "h", "k"]).collect()}
+    matrix = profile.correlation_matrix(numbers.withColumn("k", F.lit(1.0)), ["a", "b", "h", "k"])
+    out = {(r["x"], r["y"]): r["r"] for r in matrix.collect()}
     assert len(out) == 16
     assert out["b", "h"] == pytest.approx(-1.0) and out["b", "b"] == 1.0
     assert out["b", "k"] is None and out["k", "k"] is None

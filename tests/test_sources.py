@@ -86,7 +86,8 @@ def test_documents(spark):
     )
     assert '"n_clusters": 3}' in "".join(r["value"] for r in spark.read.text(path).collect())
     Path(path, "empty.json").write_text("{}\n")
-    flat = values(documents.flatten_documents(documents.read_documents(spark, path)), "fecha", "algoritmo", "tamano_modelo", "calidad", "inercia_f1", "registros")
+    shown = documents.flatten_documents(documents.read_documents(spark, path))
+    flat = values(shown, "fecha", "algoritmo", "tamano_modelo", "calidad", "inercia_f1", "registros")
     assert flat == [
         ("2024-01-02T03:04:05", "K-Means", "3", "0.25", "12.5", "N/A"),
         ("2024-01-03T00:00:00", "Random Forest", "100", "0.8", "0.5", "N/A"),
