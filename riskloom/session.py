@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: dict[str, str] = {}
-
 
 def build_session(app: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE (coalescing, skew joins) on and UTC timestamps."""
@@ -27,22 +24,16 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse.
 
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would not see the driver's disk.
+    Both are shared by the driver and all executors, so a lost executor loses
+    nothing that was written here. Machine-local folders are never used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOT:
-        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="riskloom-")
-    return _LOCAL_ROOT[app]
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/riskloom-scratch"
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,3 +46,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`scratch_path` placed, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables of one run, written as Parquet and dropped by name when used up."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: lineage ends here."""
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_path(self.spark, f"{self.root}/{name}")
