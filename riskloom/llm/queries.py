@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.llm import byte_bpe
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.registry import QUERIES, query
 
@@ -23,3 +26,15 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """)
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = byte_bpe.encode(read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return byte_bpe.decode(tokens, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
