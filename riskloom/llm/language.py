@@ -264,6 +264,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language; ``und`` is rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = WordScores(shared.value)
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE):
+                found = label_texts(texts(part.column(text_col)), scorer)
+                yield part.filter(pa.array([lang != UNKNOWN for lang, _, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if model.languages else docs.limit(0)
+
+
 def remainder(id_col: str, parts: int) -> Column:
     """CRC-32 of the id as text, modulo ``parts``: the fold of a row."""
     return F.crc32(F.col(id_col).cast("string")) % parts

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, language, minhash
+from riskloom.llm import byte_bpe, language, minhash, mixing
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.registry import QUERIES, query
 
@@ -53,3 +53,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+@query()
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), repetition=1.2)
