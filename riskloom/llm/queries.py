@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, language, minhash, mixing
+from riskloom.llm import byte_bpe, language, minhash, mixing, multi_index
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.registry import QUERIES, query
 
@@ -58,3 +58,8 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), repetition=1.2)
+
+
+@query()
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
