@@ -11,11 +11,13 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -81,48 +83,59 @@ class Encoder:
     """Encodes texts in a worker.
 
     A text may be cut before any single space that follows or precedes a character which is no white space: the
-    pattern never joins across it. The cut chunks are mostly words, whose ids are remembered.
+    pattern never joins across it. The cut chunks are mostly words, whose ids are remembered; so are pre-tokens,
+    which many chunks share.
     """
 
     inner_run, cut = re.compile(r" \s"), re.compile(r" (?=\S)")
 
     def __init__(self, model: bytes, pattern: str) -> None:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.pattern = regex.compile(pattern)
+        self.split = regex.compile(pattern).findall
         self.alphabet = byte_alphabet()[0]
-        self.known: dict[str, bytes] = {}
-        self.known_first: dict[str, bytes] = {}
+        self.first_chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+        self.long: list[tuple[dict[str, bytes], str]] = []
 
-    def chunks(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         """The text cut at spaces; each chunk but the first stands for itself after one space."""
         return self.cut.split(text) if self.inner_run.search(text) else text.split(" ")
 
-    def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
-        chunks = [*chunks]
-        pre_tokens = [self.pattern.findall(before + c) for c in chunks]
-        mapped = [p.encode().decode("latin-1").translate(self.alphabet) for ps in pre_tokens for p in ps]
-        ids = iter(self.pieces.encode(mapped, out_type=int, num_threads=1) if mapped else ())
-        for chunk, ps in zip(chunks, pre_tokens, strict=True):
-            known[chunk] = array("i", [i for _ in ps for i in next(ids)]).tobytes()
+    def _learn_pre_tokens(self, wanted: set[str]) -> None:
+        new = [*wanted - self.pre_tokens.keys()]
+        mapped = [p.encode().decode("latin-1").translate(self.alphabet) for p in new]
+        ids = self.pieces.encode(mapped, out_type=int, num_threads=1) if new else []
+        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+        joined = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+        self.long += [(self.pre_tokens, p) for p in new if len(p) > CACHE_CHARS]
+        self.pre_tokens.update(zip(new, (joined[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+        """Remember the ids of chunks; a chunk of letters is one pre-token with the space before it."""
+        if len(self.pre_tokens) > CACHE_ENTRIES:
+            self.pre_tokens.clear()
+        self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
+        whole = [c for c in new if c.isalpha()]
+        mixed = [c for c in new if not c.isalpha()]
+        parts = [self.split(before + c) for c in mixed]
+        self._learn_pre_tokens({before + c for c in whole}.union(*parts))
+        ids = self.pre_tokens
+        known.update((c, ids[before + c]) for c in whole)
+        known.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(mixed, parts, strict=True))
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Per text its ids as 32-bit numbers."""
-        cut = [self.chunks(t) for t in rows]
-        new = {}
-        for name, known, seen, before in (
-            ("first", self.known_first, {c[0] for c in cut}, ""),
-            ("rest", self.known, set().union(*(c[1:] for c in cut)), " "),
-        ):
+        cut = [self._cut(t) for t in rows]
+        first, rest = self.first_chunks, self.chunks
+        for known, seen, before in ((first, {c[0] for c in cut}, ""), (rest, set().union(*(c[1:] for c in cut)), " ")):
             if len(known) > CACHE_ENTRIES:
                 known.clear()
-            new[name] = seen - known.keys()
-            self._learn(known, new[name], before)
-        first, rest = self.known_first.__getitem__, self.known.__getitem__
-        out = [b"".join([first(c[0]), *map(rest, c[1:])]) for c in cut]
-        for known, chunks in ((self.known_first, new["first"]), (self.known, new["rest"])):
-            for chunk in chunks:
-                if len(chunk) > CACHE_CHARS:
-                    del known[chunk]
+            self._learn(known, [*seen - known.keys()], before)
+        out = [b"".join([first[c[0]], *map(rest.__getitem__, c[1:])]) for c in cut]
+        for known, chunk in self.long:
+            known.pop(chunk, None)
+        self.long.clear()
         return out
 
 
@@ -158,12 +171,13 @@ def decode(tokens: DataFrame, vocabulary: list[bytes], ids_col: str = "ids", out
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         back = byte_alphabet()[1]
         table = [bytes(back[c] for c in pieces.id_to_piece(i)) for i in range(size)]
+        table = np.array([*table, b""], object)[:-1]  # one object for each id
         for batch in batches:
             ids = batch.column(ids_col)
+            flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
             whole = [
-                None if row is None else b"".join(map(table.__getitem__, row))
-                for at in range(0, len(ids), 256)
-                for row in ids.slice(at, 256).to_pylist()
+                b"".join(table[flat[a:b]].tolist()) if held else None
+                for a, b, held in zip([0, *ends], ends, ids.is_valid().to_pylist(), strict=False)
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(whole, pa.binary())], names=[*batch.schema.names, out_col]
