@@ -28,16 +28,18 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     mark, turn = _mark(edges), 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        turn += 1
+        # written apart from the edges, so that the join can split a hub
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")), f"{name}-least-{turn}")
+        least = least.select("u", F.least("u", "v").alias("m"))
         wide = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = wide.groupBy("u").agg(F.min("v").alias("m"))
         small = wide.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turn += 1
         after = scratch.keep(
             small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}"
         )
-        scratch.drop(f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-least-{turn}")
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
             break

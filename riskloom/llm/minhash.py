@@ -3,9 +3,9 @@
 Documents with the same shingle set form a class, whose smallest id stands for it. Bands of the MinHash signature
 put classes into buckets. Candidates of a bucket are compared signature batch by signature batch; after each batch
 a pair is dropped once the posterior probability that its similarity reaches the threshold is below the miss
-probability. Survivors are confirmed on their full shingle sets. A bucket is never turned into all its pairs: all
+probability. Survivors are confirmed on their full shingle sets. A bucket is never turned into rows of pairs: all
 classes are first compared with the bucket's head, and only classes that are then still in different components are
-compared with each other.
+compared with each other, block by block, where only unpruned pairs become rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE_WORDS = 5
 SIGNATURE, BAND_MISS = 256, 1e-5
 #: Signature values compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, VERIFY_MISS = 32, 1e-7
+#: Members of a bucket in a block.
+BLOCK = 256
 KNOWN_WORDS = 300_000
 SLICE = 1 << 20
 
@@ -196,6 +198,34 @@ def _unpruned(pairs: DataFrame, signatures: DataFrame, percent: int, length: int
     )
 
 
+def _unpruned_blocks(blocks: DataFrame, percent: int, length: int) -> DataFrame:
+    """Pairs (u, v, nu, nv), u < v, between two blocks (outer, inner) that no batch of their signatures prunes."""
+    steps = least_matches(percent, length)
+
+    def columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+        signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(-1, length)
+        return (*(rows.field(c).to_numpy() for c in ("id", "n", "component")), signature)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for outer, inner, main in zip(*map(batch.column, ("outer", "inner", "main")), strict=True):
+                (u, nu, cu, su), (v, nv, cv, sv) = columns(outer.values), columns(inner.values)
+                apart = (cu[:, None] != cv) & ((cv == main.as_py()) | (u[:, None] < v))
+                near = 100 * np.minimum(nu[:, None], nv) >= percent * np.maximum(nu[:, None], nv)
+                left, right = np.nonzero(apart & near)
+                matches, done = np.zeros(len(left), np.int64), 0
+                for n, least in steps:
+                    matches = matches + (su[left, done:n] == sv[right, done:n]).sum(1)
+                    alive, done = matches >= least, n
+                    left, right, matches = left[alive], right[alive], matches[alive]
+                swap = u[left] > v[right]
+                ids, sizes = (u[left], v[right]), (nu[left], nv[right])
+                found = [np.where(swap, x[1 - i], x[i]) for x in (ids, sizes) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v", "nu", "nv"])
+
+    return blocks.mapInArrow(run, "u long, v long, nu long, nv long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v): 100 * intersection >= percent * union on full sets."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
@@ -233,7 +263,7 @@ def near_duplicates(
     shared = banded.groupBy("band").agg(
         F.min("near_id").alias("low"), F.max("near_id").alias("high"), F.min("id").alias("head")
     )
-    shared = shared.where("low <> high").select("band", "head")
+    shared = scratch.keep(shared.where("low <> high").select("band", "head"), "shared")
     members = scratch.keep(
         banded.join(shared, "band")
         .groupBy("band", "near_id", "n")
@@ -264,36 +294,39 @@ def near_duplicates(
         "placed",
     )
     counted = placed.groupBy("band", "component").count()
-    main = (
+    main = scratch.keep(
         counted.groupBy("band")
-        .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-    )
-    split = placed.where("id <> head").join(main, "band")
-    outside = split.where("component <> main").select(
-        "band", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")
-    )
-    second = (
-        split.select("band", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), "main")
-        .join(outside, "band")
-        .where(f"cu <> cv and (cv = main or u < v) and {_near_in_size(percent)}")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-        .distinct()
-    )
-    more = scratch.keep(
-        _confirmed(_unpruned(second, signatures, percent, rows * bands), sets, percent), "links-second"
+        .agg(
+            F.max_by("component", F.struct("count", "component")).alias("main"),
+            F.sum("count").alias("size"),
+            (F.sum("count") - F.max("count")).alias("outside"),
+        )
+        .where("outside > 0"),
+        "main",
     )
+    split = placed.where("id <> head").join(main, "band").join(signatures, "id")
+    row = F.struct("id", "n", "component", "signature")
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).alias("block")
+        return rows.groupBy("band", "main", block).agg(F.collect_list(row).alias(name)).drop("block")
+
+    outer = blocks(split.where("component <> main"), "outside", "outer")
+    pairs_of_blocks = outer.join(blocks(split, "size", "inner"), ["band", "main"]).select("outer", "inner", "main")
+    second = _unpruned_blocks(pairs_of_blocks, percent, rows * bands)
+    more = scratch.keep(_confirmed(second, sets, percent), "links-second")
     final = scratch.keep(components(links.union(more), scratch, "second"), "groups")
 
     classes = sketches.where("n > 0").groupBy("class_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.keep(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
     found = (
         sketches.select("id", "n", "class_id")
-        .join(classes.where("copies > 1"), "class_id", "left")
+        .join(classes, "class_id", "left")
         .select("id", "n", F.coalesce("first_id", "id").alias("first_id"))
         .join(final.select(F.col("id").alias("first_id"), "component"), "first_id", "left")
         .select("id", "n", F.coalesce("component", "first_id").alias("component_id"))
     )
-    scratch.drop("members", "signatures", "sets", "links-first", "groups-first", "placed", "links-second")
+    scratch.drop("shared", "main", "members", "signatures", "sets", "links-first", "groups-first", "placed", "links-second")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
