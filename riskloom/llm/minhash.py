@@ -176,28 +176,6 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def _unpruned(pairs: DataFrame, signatures: DataFrame, percent: int, length: int) -> DataFrame:
-    """Pairs (u, v, nu, nv) that no batch of their signatures prunes."""
-    steps = least_matches(percent, length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, length) for c in ("su", "sv")
-            )
-            alive, matches, done = np.arange(len(batch)), np.zeros(len(batch), np.int64), 0
-            for n, least in steps:
-                matches = matches + (left[alive, done:n] == right[alive, done:n]).sum(1)
-                alive, matches, done = alive[matches >= least], matches[matches >= least], n
-            yield batch.select(["u", "v", "nu", "nv"]).take(pa.array(alive))
-
-    left = signatures.select(F.col("id").alias("u"), F.col("signature").alias("su"))
-    right = signatures.select(F.col("id").alias("v"), F.col("signature").alias("sv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(
-        run, "u long, v long, nu long, nv long"
-    )
-
-
 def _unpruned_blocks(blocks: DataFrame, percent: int, length: int) -> DataFrame:
     """Pairs (u, v, nu, nv), u < v, between two blocks (outer, inner) that no batch of their signatures prunes."""
     steps = least_matches(percent, length)
@@ -240,8 +218,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _near_in_size(percent: int) -> str:
-    return f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+def _pairs(outer: DataFrame, inner: DataFrame, percent: int, length: int) -> DataFrame:
+    """Unpruned pairs of an outer and an inner member of the same bucket that are in different components.
+
+    Both sides: band, id, n, component, main (the bucket's largest component), size (members), signature. Two
+    members outside the main component meet twice; the pair counts where the outer one has the smaller id.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
+        row = F.struct("id", "n", "component", "signature")
+        return rows.groupBy("band", "main", block).agg(F.collect_list(row).alias(name)).drop("block")
+
+    pairs = blocks(outer, "outer").join(blocks(inner, "inner"), ["band", "main"]).select("outer", "inner", "main")
+    return _unpruned_blocks(pairs, percent, length)
 
 
 def near_duplicates(
@@ -261,36 +251,28 @@ def near_duplicates(
 
     banded = sketches.where("n > 0 and id is not null").select("id", "n", "near_id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(
-        F.min("near_id").alias("low"), F.max("near_id").alias("high"), F.min("id").alias("head")
+        F.min("near_id").alias("low"), F.max("near_id").alias("high"), F.min("id").alias("head"), F.count(F.lit(1)).alias("size")
     )
-    shared = scratch.keep(shared.where("low <> high").select("band", "head"), "shared")
-    members = scratch.keep(
-        banded.join(shared, "band")
+    shared = scratch.keep(shared.where("low <> high").select("band", "head", "size"), "shared")
+    # the hints keep one plan at every size: what is small here grows with the documents
+    members = (
+        banded.join(shared.hint("merge"), "band")
         .groupBy("band", "near_id", "n")
-        .agg(F.min("id").alias("id"), F.first("head").alias("head")),
-        "members",
+        .agg(F.min("id").alias("id"), F.first("head").alias("head"), F.first("size").alias("size"))
     )  # one row for each class in each bucket that several classes share
-
+    members = scratch.keep(members.hint("merge").join(sketches.select("id", "signature"), "id"), "members")
     needed = members.select("id").distinct()
-    signatures = scratch.keep(sketches.select("id", "signature").join(needed, "id", "left_semi").distinct(), "signatures")
-    sets = scratch.keep(_full_sets(source.join(needed, "id", "left_semi")).distinct(), "sets")
-
-    heads = members.where("id = head").select("band", F.col("n").alias("nu"), F.col("id").alias("u"))
-    first = (
-        members.where("id <> head")
-        .select("band", F.col("n").alias("nv"), F.col("id").alias("v"))
-        .join(heads, "band")
-        .where(_near_in_size(percent))
-        .select("u", "v", "nu", "nv")
-        .distinct()
-    )
-    links = scratch.keep(
-        _confirmed(_unpruned(first, signatures, percent, rows * bands), sets, percent), "links-first"
-    )
+    sets = scratch.keep(_full_sets(source.join(needed.hint("merge"), "id", "left_semi")).distinct(), "sets")
+
+    lone = members.withColumns({"component": F.col("id"), "main": F.lit(-1).cast("long")})
+    first = _pairs(lone.where("id = head"), lone.where("id <> head"), percent, rows * bands)
+    links = scratch.keep(_confirmed(first, sets, percent), "links-first")
     groups = scratch.keep(components(links, scratch, "first"), "groups-first")
 
     placed = scratch.keep(
-        members.join(groups, "id", "left").select("band", "id", "n", "head", F.coalesce("component", "id").alias("component")),
+        members.select("band", "id", "n", "head")
+        .join(groups, "id", "left")
+        .select("band", "id", "n", "head", F.coalesce("component", "id").alias("component")),
         "placed",
     )
     counted = placed.groupBy("band", "component").count()
@@ -304,16 +286,10 @@ def near_duplicates(
         .where("outside > 0"),
         "main",
     )
-    split = placed.where("id <> head").join(main, "band").join(signatures, "id")
-    row = F.struct("id", "n", "component", "signature")
-
-    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).alias("block")
-        return rows.groupBy("band", "main", block).agg(F.collect_list(row).alias(name)).drop("block")
-
-    outer = blocks(split.where("component <> main"), "outside", "outer")
-    pairs_of_blocks = outer.join(blocks(split, "size", "inner"), ["band", "main"]).select("outer", "inner", "main")
-    second = _unpruned_blocks(pairs_of_blocks, percent, rows * bands)
+    apart = placed.where("id <> head").join(main, "band").select("band", "id", "n", "component", "main", "size", "outside")
+    apart = apart.hint("merge").join(members.select("band", "id", "signature"), ["band", "id"])
+    outer = apart.where("component <> main").withColumn("size", F.col("outside"))
+    second = _pairs(outer, apart, percent, rows * bands)
     more = scratch.keep(_confirmed(second, sets, percent), "links-second")
     final = scratch.keep(components(links.union(more), scratch, "second"), "groups")
 
@@ -326,7 +302,7 @@ def near_duplicates(
         .join(final.select(F.col("id").alias("first_id"), "component"), "first_id", "left")
         .select("id", "n", F.coalesce("component", "first_id").alias("component_id"))
     )
-    scratch.drop("shared", "main", "members", "signatures", "sets", "links-first", "groups-first", "placed", "links-second")
+    scratch.drop("shared", "main", "members", "sets", "links-first", "groups-first", "placed", "links-second")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
