@@ -276,8 +276,3 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
                 yield part.filter(pa.array([lang != UNKNOWN for lang, _, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema) if model.languages else docs.limit(0)
-
-
-def remainder(id_col: str, parts: int) -> Column:
-    """CRC-32 of the id as text, modulo ``parts``: the fold of a row."""
-    return F.crc32(F.col(id_col).cast("string")) % parts

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat, language, minhash, mixing, multi_index
+from riskloom.llm import byte_bpe, chat, language, minhash, mixing, multi_index, toxicity
 from riskloom.llm.exact_dedup import exact_dedup
+from riskloom.llm.folds import remainder
 from riskloom.llm.registry import QUERIES, query
 
 
@@ -43,7 +44,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = language.remainder("doc_id", 5) == 0
+    held_out = remainder("doc_id", 5) == 0
     model = language.fit(docs, ~held_out)
     return language.identify(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
@@ -96,3 +97,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
