@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.arrow import slices, texts
+from riskloom.llm.folds import hashed_below
 
-#: The model is fitted on at most so many labelled rows a language (those with the smallest hash of their id).
+#: The model is fitted on at most so many labelled rows a language (those by the hash of their id).
 FIT_ROWS = 1_000
 #: Buckets of hashed n-grams, and the longest n-gram.
 BUCKETS, LONGEST = 1 << 16, 4
@@ -31,7 +32,7 @@ SWITCH = 6.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 CACHE_WORDS = 200_000
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,9 +92,15 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
     )
+    # about a quarter more than wanted leave their tasks, then the smallest hashes of each language are taken
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(1.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1.25 * FIT_ROWS / n, 1.0)).otherwise(share)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("place", F.row_number().over(by_hash)).where(f"place <= {FIT_ROWS}")
-    chosen = docs.sparkSession.createDataFrame(chosen.select("id").distinct().toArrow(), rows.select("id").schema)
+    chosen = rows.where(hashed_below("id", share)).withColumn("place", F.row_number().over(by_hash))
+    chosen = chosen.where(f"place <= {FIT_ROWS}").select("id").distinct()
+    chosen = docs.sparkSession.createDataFrame(chosen.toArrow(), rows.select("id").schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.folds import bounded_sample
 from riskloom.session import Scratch
 
 #: The codebooks are fitted on at most so many vectors (those with the smallest hash of their id).
@@ -106,12 +107,9 @@ def search(
     result = f"query_id {id_type}, id {id_type}, score double"
     valid = valid_vectors(vectors, id_col, vector_col)
     usual = valid.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if usual is None or usual["size"] < 2:
-        dimension = usual["size"] if usual else 1
-    else:
-        dimension = usual["size"]
+    dimension = usual["size"] if usual else 1
     valid = valid.where(F.size("vector") == dimension)
-    sample = valid.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").toArrow()
+    sample = bounded_sample(valid, "id", FIT_ROWS).select("vector").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, {id_col} {id_type}, score double")
     fitted = np.array(sample.column("vector").to_pylist()).reshape(-1, dimension)
@@ -144,7 +142,7 @@ def search(
     def of_first(values: np.ndarray) -> F.Column:
         return F.element_at(F.array(*(F.lit(int(v)) for v in np.maximum(values, 1))), F.col("c1") + 1)
 
-    asked = coded.where(F.col("id").isin([]) if not queries else F.expr(queries.replace(id_col, "id")))
+    asked = coded.withColumn(id_col, F.col("id")).where(queries).select(*coded.columns)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.arrow import slices, texts
+from riskloom.llm.folds import bounded_sample
 from riskloom.session import Scratch
 
 #: The model is fitted on at most so many labelled rows (those with the smallest hash of their id).
@@ -99,8 +100,7 @@ def fit(
     scratch = Scratch(spark, "toxicity")
     known = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
-    known = spark.createDataFrame(known.toArrow(), known.schema)
+    known = spark.createDataFrame(bounded_sample(known, "id", FIT_ROWS).toArrow(), known.schema)
     sample = scratch.keep(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic"),
         "sample",
