@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, toxicity
+from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, repeats, toxicity
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.folds import remainder
 from riskloom.llm.registry import QUERIES, query
@@ -112,3 +112,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.extract(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op3_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
