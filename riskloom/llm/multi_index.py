@@ -96,7 +96,7 @@ def search(
     """query_id, rank (from 1), ``id_col``, score (Euclidean distance in double precision).
 
     ``queries`` is a condition on ``id_col`` that picks the query rows; every other valid row is a candidate. Ties
-    go to the smaller id. Vectors that are null, empty, zero, not finite, or of another length than most (ties: the
+    go to the smaller id; visited cells always hold more than ``k`` different vectors if there are so many. Vectors that are null, empty, zero, not finite, or of another length than most (ties: the
     longer) take no part, neither do null ids. Equal vectors with different ids are all candidates; a row that
     repeats with its id is found once. With fewer than ``k`` candidates all are returned. An empty table gives an
     empty result.
@@ -147,7 +147,7 @@ def search(
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, raw in enumerate(batch.column("x").to_pylist()):
-                seen = index.value.visited(np.frombuffer(raw), part, least)
+                seen = index.value.visited(np.frombuffer(raw), part, max(least, k + 1))
                 c1 = np.flatnonzero(seen.any(1))
                 masks = np.packbits(seen[c1], axis=1)
                 yield pa.RecordBatch.from_arrays(
