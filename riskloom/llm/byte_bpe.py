@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.arrow import ragged, slices, texts
 
 #: Encoded chunks that a worker remembers; longer chunks than this are never remembered.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 64
 
 
 def load_ranks(path: str) -> list[bytes]:

@@ -31,8 +31,8 @@ SWITCH = 6.0
 #: A language uses a script if that holds so much of its letters.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-CACHE_WORDS = 200_000
-SLICE = 8 << 20
+CACHE_WORDS = 100_000
+SLICE = 2 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,9 +89,10 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on ``FIT_ROWS`` of the ``usable`` rows of each language at most; rows without language or text are left out."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
+    rows = known.select("id", "lang")
     # about a quarter more than wanted leave their tasks, then the smallest hashes of each language are taken
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(1.0)
@@ -121,10 +122,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
                     names=["lang", "cell", "n"],
                 )
 
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("id"), "left_semi").where(usable)
-    sample = sample.where(F.col(lang_col).isNotNull())
     counted = (
-        sample.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        known.join(F.broadcast(chosen), "id", "left_semi")
+        .select("text", "lang")
         .mapInArrow(count, "lang string, cell int, n double")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
