@@ -117,8 +117,8 @@ def complete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
 
 
 def exists_flag(df: DataFrame, condition: Column) -> DataFrame:
-    """One row: 1 if any row satisfies ``condition``, else 0."""
-    return df.agg(F.coalesce(F.max(F.when(condition, 1)), F.lit(0)).alias("existe"))
+    """One row: 1 if any row satisfies ``condition``, else 0. The condition reaches the scan, and one row is enough."""
+    return df.where(condition).limit(1).agg(F.count("*").cast("int").alias("existe"))
 
 
 def at_threshold(probability: Column, threshold: float) -> Column:

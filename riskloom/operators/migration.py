@@ -152,7 +152,7 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
         remaining.agg(F.count("*").alias("c"), F.lit("r").alias("kind"))
     )
     report = counted.agg(
-        F.lit(n).alias("registros_solicitados"),
+        F.lit(n).cast("long").alias("registros_solicitados"),
         F.max(F.when(F.col("kind") == "m", F.col("c"))).alias("registros_migrados"),
         F.max(F.when(F.col("kind") == "r", F.col("c"))).alias("registros_restantes_staging"),
     )
@@ -186,7 +186,7 @@ def delete_first_n(staging: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         _, remaining = split_first_n(staging, "ID", deleted, sizes["keyed"])
     report = staging.sparkSession.createDataFrame(
         [(n, deleted, total - deleted)],
-        "registros_solicitados int, registros_eliminados long, registros_restantes_staging long",
+        "registros_solicitados long, registros_eliminados long, registros_restantes_staging long",
     )
     return remaining, report
 

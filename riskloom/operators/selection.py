@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.sizing import keep_local
+from riskloom.sizing import join_checked, keep_local
 
 SKETCH_ACCURACY = 50_000
 WINDOW_ROWS = 1_000_000
-MAX_BUCKETS = 4_096
+#: Parts into which a refined interval is cut, and copies of a row that one task makes.
+REFINED_PARTS, COPIES_AT_ONCE = 64, 100_000
 
 
 def order_statistics(
@@ -56,7 +57,7 @@ def order_statistics(
     largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest <= group_rows:
         return _ranks_by_window(present, targets, by, F.broadcast(sizes) if local else sizes, largest)
-    return _ranks_by_sketch(present, targets, by, accuracy)
+    return _ranks_by_sketch(present, targets, by, accuracy, group_rows)
 
 
 def _ranks_by_window(
@@ -75,7 +76,7 @@ def _ranks_by_window(
 
 
 def _ranks_by_sketch(
-    values: DataFrame, targets: Mapping[str, tuple[float, Column]], by: list[str], accuracy: int
+    values: DataFrame, targets: Mapping[str, tuple[float, Column]], by: list[str], accuracy: int, group_rows: int
 ) -> DataFrame:
     margin = 2.0 / accuracy
     probes = sorted(
@@ -109,10 +110,19 @@ def _ranks_by_sketch(
         )
         .select(*by, "__slot", "__start", "__c", "n", "__t.__name", "__t.__rank")
         .where("__rank >= __start and __rank < __start + __c")
-        .drop("__c")
     )
     wanted, local = keep_local(wanted)
     hint = F.broadcast if local else (lambda frame: frame)
+    largest = wanted.agg(F.max("__c")).first()[0] or 0
+    if largest > group_rows:
+        inner = [*by, "__slot"]
+        inside = placed.join(hint(wanted.select(*inner).distinct()), inner)
+        asked = wanted.select(*inner, "n", "__name", (F.col("__rank") - F.col("__start")).alias("__rank"))
+        hits = _refined(inside, asked, inner, group_rows, largest)
+        return hits.groupBy(*by).agg(
+            F.max("n").alias("n"), *[F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in targets]
+        )
+    wanted = wanted.drop("__c")
     inside = Window.partitionBy(*by, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         placed.join(hint(wanted.select(*by, "__slot", "__start").distinct()), [*by, "__slot"])
@@ -127,6 +137,36 @@ def _ranks_by_sketch(
     )
 
 
+def _refined(values: DataFrame, asked: DataFrame, by: list[str], group_rows: int, largest: int) -> DataFrame:
+    """``asked`` rows (``by``, n, __name, __rank) with the value ``__v`` at their rank in their group.
+
+    Each group is cut into parts by its own sketch and counted; the parts that
+    hold a rank are the groups of the next round, until the largest fits a
+    window or no cut makes it smaller (then it is one value over and over, and
+    counting leaves one row of it).
+    """
+    grid = [i / REFINED_PARTS for i in range(1, REFINED_PARTS)]
+    cuts = values.groupBy(*by).agg(F.percentile_approx("__v", grid, SKETCH_ACCURACY).alias("__cuts"))
+    part = f"__part{len(by)}"
+    placed = join_checked(values, cuts, by).withColumn(
+        part, F.size(F.filter("__cuts", lambda c: F.col("__v") > c))
+    ).drop("__cuts")
+    group = Window.partitionBy(*by)
+    counted = placed.groupBy(*by, part).agg(F.count("*").alias("__c"))
+    counted = counted.withColumn("__start", F.sum("__c").over(group.orderBy(part)) - F.col("__c"))
+    found = asked.join(counted, by).where("__rank >= __start and __rank < __start + __c")
+    found, _ = keep_local(found)
+    inner = [*by, part]
+    size = found.agg(F.max("__c")).first()[0] or 0
+    inside = join_checked(placed, found.select(*inner).distinct(), inner)
+    asked = found.select(*inner, "n", "__name", (F.col("__rank") - F.col("__start")).alias("__rank"))
+    if group_rows < size < largest:
+        return _refined(inside, asked, inner, group_rows, size)
+    run = Window.partitionBy(*inner).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    runs = inside.groupBy(*inner, "__v").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(run))
+    return asked.join(runs, inner).where("__rank >= __upto - __n and __rank < __upto")
+
+
 def _present(df: DataFrame, value: str) -> Column:
     ok = F.col(value).isNotNull()
     if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
@@ -186,21 +226,20 @@ def running_totals(
         run = Window.partitionBy(*by).orderBy(ordered(order_by)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures])
 
-    pieces = min(MAX_BUCKETS, max(2, -(-rows // max(1, window_rows // 2))))
-    spot = "__order"
+    pieces = max(2, -(-rows // max(1, window_rows // 2)))
+    spot, piece = f"__order{len(df.columns)}", f"__piece{len(df.columns)}"  # new names in each round
+    while spot in df.columns or piece in df.columns:
+        spot, piece = spot + "_", piece + "_"
     numbered = df.withColumn(spot, F.col(order_by).cast("double"))
     inner = numbered.approxQuantile(spot, [i / pieces for i in range(1, pieces)], 0.25 / pieces)
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=spot, outputCol="__piece", handleInvalid="keep").transform(numbered)
-    before = Window.partitionBy(*by).orderBy(ordered("__piece")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*by, "__piece")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(*by, "__piece", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__before_{m}") for m in measures])
-    )
-    offsets, local = keep_local(offsets, MAX_BUCKETS * 16)
-    run = Window.partitionBy(*by, "__piece").orderBy(ordered(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(offsets) if local else offsets, [*by, "__piece"]).select(
+    placed = Bucketizer(splits=splits, inputCol=spot, outputCol=piece, handleInvalid="keep").transform(numbered)
+    sums = placed.groupBy(*by, piece).agg(*[F.sum(m).alias(m) for m in measures])
+    fewer = len(splits) < rows  # else the ranges are no fewer than the rows, and one window must do
+    totals = running_totals(sums, piece, measures, by, descending, window_rows if fewer else rows, len(splits))
+    offsets = totals.select(*by, piece, *[(F.col(f"cum_{m}") - F.col(m)).alias(f"__before_{m}") for m in measures])
+    run = Window.partitionBy(*by, piece).orderBy(ordered(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    return join_checked(placed, offsets, [*by, piece]).select(
         *df.columns, *[(F.col(f"__before_{m}") + F.sum(m).over(run)).alias(f"cum_{m}") for m in measures]
     )
 
@@ -247,11 +286,12 @@ def split_first_n(df: DataFrame, key: str, n: int, total: int | None = None) ->
     ranked = ranked.withColumn("__taken", taken)
 
     def repeat(times: Column) -> DataFrame:
-        return (
-            ranked.where(times > 0)
-            .withColumn("__i", F.explode(F.sequence(F.lit(1), times)))
-            .select(*columns)
-        )
+        """Copies of each row, made by as many tasks as there are parts of ``COPIES_AT_ONCE``."""
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / COPIES_AT_ONCE).cast("long")))
+        part = ranked.where(times > 0).withColumn("__times", times).withColumn("__part", parts)
+        left = F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("__times") - F.col("__part") * COPIES_AT_ONCE)
+        spread = part.repartition("__part", "__rank") if need > COPIES_AT_ONCE or sizes["tied"] > COPIES_AT_ONCE else part
+        return spread.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), left))).select(*columns)
 
     first = keyed.where(F.col(key) < F.lit(cut)).unionByName(repeat(F.col("__taken")))
     rest = df.where(F.col(key).isNull() | (F.col(key) > F.lit(cut))).unionByName(

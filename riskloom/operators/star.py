@@ -30,13 +30,18 @@ def ml_dataset(star: CreditStar) -> DataFrame:
     )
 
 
+_LABELS = {"dim_sexo": "id_sexo", "dim_educacion": "id_educacion", "dim_estado_civil": "id_estado_civil"}
+
+
+def _labelled(star: CreditStar, clients: DataFrame) -> DataFrame:
+    for catalog, key in _LABELS.items():
+        clients = clients.join(F.broadcast(star.catalog(catalog)), key)
+    return clients
+
+
 def _with_labels(star: CreditStar) -> DataFrame:
-    return (
-        star.dim_cliente.join(F.broadcast(star.catalog("dim_sexo")), "id_sexo")
-        .join(F.broadcast(star.catalog("dim_educacion")), "id_educacion")
-        .join(F.broadcast(star.catalog("dim_estado_civil")), "id_estado_civil")
-        .join(star.riesgo_crediticio, "id_cliente")
-    )
+    """Clients with target, then their labels, so that no text travels through the shuffle."""
+    return _labelled(star, star.dim_cliente.join(star.riesgo_crediticio, "id_cliente"))
 
 
 def client_detail(star: CreditStar) -> DataFrame:
@@ -53,8 +58,12 @@ def client_detail(star: CreditStar) -> DataFrame:
 
 
 def first_clients(star: CreditStar, n: int = 10) -> DataFrame:
-    """The first ``n`` labelled clients by id."""
-    labelled = _with_labels(star).select(
+    """The first ``n`` clients by id among those with labels and target; only they are labelled."""
+    known = star.dim_cliente
+    for catalog, key in _LABELS.items():
+        known = known.join(F.broadcast(star.catalog(catalog).select(key)), key, "left_semi")
+    first = top_rows(known.join(star.riesgo_crediticio, "id_cliente"), [F.col("id_cliente")], n)
+    labelled = _labelled(star, first).select(
         "id_cliente", "descripcion_sexo", "nivel_educativo", "descripcion_estado_civil",
         "edad", "limite_credito", "incumplimiento_proximo_mes",
     )

@@ -7,6 +7,6 @@ from riskloom.plans.registry import QUERIES, Query
 
 def all_queries() -> dict[str, Query]:
     """All named queries, registered by importing their modules."""
-    from riskloom.plans import load_queries, model_queries, profile_queries, star_queries  # noqa: F401
+    from riskloom.plans import credit_model_queries, load_queries, model_queries, profile_queries, star_queries  # noqa: F401
 
     return dict(QUERIES)

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import audit, integrity, migration
+from riskloom.operators import audit, filters, integrity, migration
 from riskloom.operators.reshape import counts_side_by_side
 from riskloom.operators.selection import split_first_n
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
+from riskloom.plans.star_queries import JOINED_SQL
 from riskloom.schemas import BILL_COLUMNS, MONTH_COLUMNS, PAID_COLUMNS, PAY_COLUMNS, STAGING_SCHEMA
 from riskloom.session import materialize, scratch_path
 from riskloom.sources import csvfiles, documents, tables
-from riskloom.sources.batches import CreditStore
+from riskloom.sources.batches import CreditStore, load_star
 
-#: rows asked for in the batch queries: more than fits a top-n on the driver at larger scales
+#: rows asked for in the batch queries; below the top-n switch of ``split_first_n``, whose other way ``first_n_by_key`` takes
 BATCH = 4_000
 
 _BATCH_SQL = f"lote AS (SELECT * FROM staging ORDER BY ID LIMIT {BATCH})"
@@ -67,7 +68,7 @@ def migrate_batch_history(spark, sf_dir):
 
 @query(
     b.STAR_SQL
-    + f""", {_BATCH_SQL} SELECT {BATCH} AS registros_solicitados, (SELECT count(*) FROM lote) AS registros_migrados,
+    + f""", {_BATCH_SQL} SELECT CAST({BATCH} AS BIGINT) AS registros_solicitados, (SELECT count(*) FROM lote) AS registros_migrados,
   (SELECT count(*) FROM staging WHERE ID NOT IN (SELECT ID FROM lote)) AS registros_restantes_staging"""
 )
 def migrate_batch_report(spark, sf_dir):
@@ -113,7 +114,7 @@ def delete_first_n(spark, sf_dir):
 
 
 @query(
-    """SELECT 4000 AS registros_solicitados, least(4000, count(*)) AS registros_eliminados,
+    """SELECT CAST(4000 AS BIGINT) AS registros_solicitados, least(4000, count(*)) AS registros_eliminados,
   count(*) - least(4000, count(*)) AS registros_restantes_staging FROM orders"""
 )
 def delete_first_n_report(spark, sf_dir):
@@ -167,13 +168,55 @@ def delete_keys_history(spark, sf_dir):
     return _without_expensive(spark, sf_dir)[0].historial_pagos
 
 
+def _full_load(spark, sf_dir):
+    return load_star(b.staging(spark, sf_dir), scratch_path(spark, "star"))
+
+
+@query(b.STAR_SQL + """SELECT ID AS id_cliente, SEX AS id_sexo, EDUCATION AS id_educacion, MARRIAGE AS id_estado_civil,
+  CAST(AGE AS SMALLINT) AS edad, LIMIT_BAL AS limite_credito FROM staging""")
+def full_load_clients(spark, sf_dir):
+    """The full load, written and read back: clients."""
+    return _full_load(spark, sf_dir).dim_cliente
+
+
+@query(b.STAR_SQL + "SELECT ID AS id_cliente, default_payment_next_month AS incumplimiento_proximo_mes FROM staging")
+def full_load_targets(spark, sf_dir):
+    return _full_load(spark, sf_dir).riesgo_crediticio
+
+
+@query(b.STAR_SQL + f", lote AS (SELECT * FROM staging) {_MONTHS_SQL}")
+def full_load_history(spark, sf_dir):
+    return _full_load(spark, sf_dir).historial_pagos
+
+
 @query(
     b.STAR_SQL
-    + """, salida AS (SELECT * FROM staging) SELECT id_cliente, edad, limite_credito FROM (
-  SELECT ID AS id_cliente, CAST(AGE AS SMALLINT) AS edad, LIMIT_BAL AS limite_credito FROM salida)"""
+    + f"""SELECT id_cliente, descripcion_sexo AS sexo, nivel_educativo AS educacion,
+  descripcion_estado_civil AS estado_civil, edad, limite_credito, incumplimiento_proximo_mes AS target {JOINED_SQL}"""
 )
-def full_load_clients(spark, sf_dir):
-    return migration.full_load(b.staging(spark, sf_dir)).dim_cliente.select("id_cliente", "edad", "limite_credito")
+def descriptive_view(spark, sf_dir):
+    """The descriptive view by name."""
+    tables.register_views(b.star(spark, sf_dir), b.staging(spark, sf_dir))
+    return tables.read_view(spark, "vw_cliente_detallado")
+
+
+@query("""SELECT * FROM (VALUES ('', 'dim_cliente', 'VIEW'), ('', 'historial_pagos', 'VIEW'), ('', 'riesgo_crediticio', 'VIEW'))
+  t(esquema, tabla, tipo) WHERE EXISTS (SELECT 1 FROM orders)""")
+def table_listing(spark, sf_dir):
+    """Registered tables of the star, without the catalogs."""
+    tables.register_views(b.star(spark, sf_dir), b.staging(spark, sf_dir))
+    listed = tables.list_tables(spark, "VIEW")
+    return listed.where(F.col("tabla").isin("dim_cliente", "historial_pagos", "riesgo_crediticio"))
+
+
+@query("""SELECT * FROM (VALUES ('s_suppkey', 'numerica'), ('s_nationkey', 'categorica'), ('s_acctbal', 'numerica'))
+  t(columna, clase) WHERE EXISTS (SELECT 1 FROM supplier)""")
+def column_classes(spark, sf_dir):
+    """Numeric columns of a table, apart from those declared categorical."""
+    supplier = b.table(spark, sf_dir, "supplier")
+    numbers, categories = filters.split_columns(supplier.select(*filters.numeric_columns(supplier)), ["s_nationkey"])
+    rows = [(c, "numerica") for c in numbers] + [(c, "categorica") for c in categories]
+    return spark.createDataFrame(rows, "columna string, clase string")
 
 
 _SNAPSHOTS_SQL = b.STAR_SQL + """, antes AS (SELECT * FROM riesgo_crediticio WHERE id_cliente % 5 <> 0),
@@ -268,57 +311,72 @@ def client_rule_report(spark, sf_dir):
     return integrity.rule_report(b.clients(spark, sf_dir), integrity.client_rules())
 
 
-@query(b.STAR_SQL + "SELECT * FROM staging")
+def _staging_with_holes(spark, sf_dir):
+    """Staging rows, some without an id and some without a target, as the nullable table allows."""
+    target = STAGING_SCHEMA.names[-1]
+    return b.staging(spark, sf_dir).withColumns(
+        {target: F.when(F.col("ID") % 10 != 7, F.col(target)), "ID": F.when(F.col("ID") % 10 != 3, F.col("ID"))}
+    )
+
+
+_TARGET = STAGING_SCHEMA.names[-1]
+_HOLES_SQL = b.STAR_SQL + f""", con_huecos AS (SELECT * REPLACE (CASE WHEN ID % 10 <> 3 THEN ID END AS ID,
+  CASE WHEN ID % 10 <> 7 THEN {_TARGET} END AS {_TARGET}) FROM staging) """
+
+
+@query(_HOLES_SQL + "SELECT * FROM con_huecos")
 def csv_staging_load(spark, sf_dir):
     """Staging written as CSV with a header line per file, then loaded by content."""
     path = scratch_path(spark, "csv")
-    b.staging(spark, sf_dir).write.option("header", True).csv(path)
+    _staging_with_holes(spark, sf_dir).write.option("header", True).csv(path)
     return csvfiles.read_staging_csv(spark, path)
 
 
 @query(
-    b.STAR_SQL
+    _HOLES_SQL
     + "SELECT "
     + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in STAGING_SCHEMA.names)
-    + " FROM staging WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in PAY_COLUMNS + BILL_COLUMNS + PAID_COLUMNS)
+    + " FROM con_huecos WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in ["ID", _TARGET, *PAY_COLUMNS, *BILL_COLUMNS, *PAID_COLUMNS])
 )
 def csv_numeric_load(spark, sf_dir):
     """The same file as complete numeric rows."""
     path = scratch_path(spark, "csv")
-    b.staging(spark, sf_dir).write.option("header", True).csv(path)
+    _staging_with_holes(spark, sf_dir).write.option("header", True).csv(path)
     return csvfiles.read_numeric_csv(spark, path)
 
 
-@query(b.STAR_SQL + "SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in STAGING_SCHEMA.names) + " FROM staging")
+@query(_HOLES_SQL + "SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in STAGING_SCHEMA.names) + " FROM con_huecos")
 def csv_sniffed_load(spark, sf_dir):
     """The same file with its column names taken from the first lines."""
     path = scratch_path(spark, "csv")
-    b.staging(spark, sf_dir).write.option("header", True).csv(path)
+    _staging_with_holes(spark, sf_dir).write.option("header", True).csv(path)
     return csvfiles.read_sniffed_csv(spark, path)
 
 
+_ALL_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
 def _stored_tables(spark, sf_dir):
-    names = "region nation customer supplier part orders lineitem events labels".split()
-    return {n: b.table(spark, sf_dir, n) for n in names}
+    return {n: b.table(spark, sf_dir, n) for n in _ALL_TABLES}
 
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{t}' AS tabla, count(*) AS filas FROM {t}"
-        for t in "region nation customer supplier part orders lineitem events labels".split()
+        f"SELECT '{t}' AS tabla, count(*) AS filas, CAST(1 AS BIGINT) AS archivos FROM {t}" for t in _ALL_TABLES
     )
 )
 def table_inventory(spark, sf_dir):
-    return tables.table_inventory(_stored_tables(spark, sf_dir)).select("tabla", "filas")
+    return tables.table_inventory(_stored_tables(spark, sf_dir)).select("tabla", "filas", "archivos")
 
 
 @query(
     "SELECT CAST(count(*) AS BIGINT) AS total_tablas, CAST(sum(n) AS BIGINT) AS total_filas, "
     "CAST(floor(sum(n) / count(*)) AS BIGINT) AS promedio_filas FROM ("
     + " UNION ALL ".join(
-        f"SELECT count(*) AS n FROM {t}"
-        for t in "region nation customer supplier part orders lineitem events labels".split()
+        f"SELECT count(*) AS n FROM {t}" for t in _ALL_TABLES
     )
     + ")"
 )

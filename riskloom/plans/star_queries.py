@@ -14,7 +14,7 @@ from riskloom.plans.registry import query
 from riskloom.schemas import BILL_COLUMNS, MONTH_COLUMNS, PAID_COLUMNS, PAY_COLUMNS, STAGING_SCHEMA
 
 _WIDE = ", ".join(PAY_COLUMNS + BILL_COLUMNS + PAID_COLUMNS)
-_JOINED = """FROM dim_cliente c JOIN dim_sexo s USING (id_sexo) JOIN dim_educacion e USING (id_educacion)
+JOINED_SQL = """FROM dim_cliente c JOIN dim_sexo s USING (id_sexo) JOIN dim_educacion e USING (id_educacion)
   JOIN dim_estado_civil m USING (id_estado_civil) JOIN riesgo_crediticio r USING (id_cliente)"""
 
 
@@ -98,7 +98,7 @@ def count_by_marital_status(spark, sf_dir):
 @query(
     b.STAR_SQL
     + f"""SELECT id_cliente, descripcion_sexo AS sexo, nivel_educativo AS educacion,
-  descripcion_estado_civil AS estado_civil, edad, limite_credito, incumplimiento_proximo_mes AS target {_JOINED}"""
+  descripcion_estado_civil AS estado_civil, edad, limite_credito, incumplimiento_proximo_mes AS target {JOINED_SQL}"""
 )
 def client_detail_view(spark, sf_dir):
     return star_ops.client_detail(b.star(spark, sf_dir))
@@ -107,7 +107,7 @@ def client_detail_view(spark, sf_dir):
 @query(
     b.STAR_SQL
     + f"""SELECT id_cliente, descripcion_sexo, nivel_educativo, descripcion_estado_civil, edad, limite_credito,
-  incumplimiento_proximo_mes {_JOINED} ORDER BY id_cliente LIMIT 10"""
+  incumplimiento_proximo_mes {JOINED_SQL} ORDER BY id_cliente LIMIT 10"""
 )
 def star_enrich_top(spark, sf_dir):
     return star_ops.first_clients(b.star(spark, sf_dir), 10)

@@ -25,7 +25,7 @@ _SCHEMAS = {
 _LOG = T.StructType(
     [
         T.StructField("lote", T.IntegerType()),
-        T.StructField("registros_solicitados", T.IntegerType()),
+        T.StructField("registros_solicitados", T.LongType()),
         T.StructField("registros_migrados", T.LongType()),
         T.StructField("registros_restantes_staging", T.LongType()),
     ]

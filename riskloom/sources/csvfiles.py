@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,37 +17,45 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _data_lines(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Trimmed cells of all lines but headers; an empty cell is NULL.
+
+    A header is a line none of whose cells is a number; every other line is
+    data. A line with too few or too many cells is an error.
+    """
+    raw = spark.read.schema(_text_schema(names)).option("mode", "FAILFAST").csv(path, header=False)
+    cells = raw.select(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
+    numbers = [F.col(f"`{n}`").try_cast("double").isNotNull() for n in names]
+    return cells.where(reduce(lambda x, y: x | y, numbers))
+
+
 def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The wide client CSV as typed staging rows.
+    """The wide client CSV as typed staging rows, headers left out.
 
-    Each file starts with two header lines. They are the lines whose id is not
-    a number; a bad number in a data line is an error.
+    Empty cells stay NULL, also the id and the target; text in a number column
+    is an error.
     """
-    raw = spark.read.schema(_text_schema(STAGING_SCHEMA.names)).csv(path, header=False)
-    rows = raw.where(F.trim("ID").try_cast("bigint").isNotNull())
-    return rows.select(
-        *[F.trim(f.name).cast(f.dataType).alias(f.name) for f in STAGING_SCHEMA.fields]
-    )
+    rows = _data_lines(spark, path, STAGING_SCHEMA.names)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STAGING_SCHEMA.fields])
 
 
 def read_numeric_csv(spark: SparkSession, path: str, names: Sequence[str] = tuple(STAGING_SCHEMA.names)) -> DataFrame:
-    """The same CSV with every column a number and incomplete rows dropped."""
-    raw = spark.read.schema(_text_schema(names)).csv(path, header=False)
-    rows = raw.where(F.trim(names[0]).try_cast("double").isNotNull())
-    return rows.select(*[F.trim(n).cast("double").alias(n) for n in names]).na.drop("any")
+    """The same CSV with every column a number (text is an error) and incomplete rows dropped."""
+    rows = _data_lines(spark, path, names)
+    return rows.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names]).na.drop("any")
 
 
 def read_sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose names are on the second line if that line holds a known name, else on the first.
 
-    Only two lines reach the driver. Names are stripped; columns are numbers.
+    Only two lines reach the driver. Names are stripped; columns are numbers,
+    NULL where a cell is empty.
     """
     lines = [row["value"] for row in spark.read.text(path).limit(2).collect()]
     second = [c.strip() for c in lines[1].split(",")] if len(lines) > 1 else []
     names = second if {"ID", "LIMIT_BAL"} & set(second) else [c.strip() for c in lines[0].split(",")]
-    raw = spark.read.schema(_text_schema(names)).csv(path, header=False)
-    rows = raw.where(F.trim(names[-1]).try_cast("double").isNotNull())
-    return rows.select(*[F.trim(n).cast("double").alias(n) for n in names])
+    rows = _data_lines(spark, path, names)
+    return rows.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names])
 
 
 def write_features(df: DataFrame, path: str, vector: str, names: Sequence[str], label: str | None = None) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +62,29 @@ def preview(spark: SparkSession, table: str, n: int = 50) -> DataFrame:
     return spark.table(table).limit(n)
 
 
-_READS = re.compile(r"\s*(select|with)\b", re.IGNORECASE)
+_CATALYST = "org.apache.spark.sql.catalyst.plans.logical."
+#: plans that write, change the session or start a program
+_REFUSED = ("Command", "ParsedStatement", "ScriptTransformation")
+
+
+def _reads_only(spark: SparkSession, text: str) -> bool:
+    """Whether a statement, parsed but not run, is a query through and through."""
+    jvm = spark.sparkContext._jvm
+    refused = [jvm.java.lang.Class.forName(_CATALYST + name) for name in _REFUSED]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        plan = todo.pop()
+        if any(kind.isInstance(plan) for kind in refused):
+            return False
+        for group in (plan.children(), plan.innerChildren()):
+            todo += [group.apply(i) for i in range(group.size())]
+    return True
 
 
 def run_query(spark: SparkSession, text: str) -> DataFrame:
-    """Rows of a reading statement; anything else is refused."""
-    if not _READS.match(text):
-        raise ValueError("only SELECT and WITH statements are allowed")
+    """Rows of a reading statement. Commands, inserts and more than one statement are refused before anything runs."""
+    if not _reads_only(spark, text):
+        raise ValueError("only reading statements are allowed")
     return spark.sql(text)
 
 

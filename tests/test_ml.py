@@ -81,16 +81,26 @@ def test_kmeans_finds_the_groups(blobs):
     rows.unpersist()
 
 
-def test_nearest_centre_equals_brute_force(spark, blobs):
+@pytest.mark.parametrize("block", [1, 3, 1_000])
+def test_nearest_centre_equals_brute_force(spark, blobs, block):
     rows = blobs.select("id", (F.col("id") % 4).alias("g"), F.array(*NAMES).alias("v"))
     centres = clustering.mean_centres(rows, "g", "v")
     known = {r["g"]: np.array(r["centro"]) for r in centres.collect()}
-    for r in clustering.nearest_centre(rows, "v", centres, "g").collect():
+    for r in clustering.nearest_centre(rows, "v", centres, "g", block).collect():
         gaps = {g: float(((np.array(r["v"]) - c) ** 2).sum()) for g, c in known.items()}
         assert r["cluster"] == min(gaps, key=lambda g: (gaps[g], g))
         assert r["distancia2"] == pytest.approx(min(gaps.values()))
 
 
+def test_fits_read_a_bounded_sample(spark):
+    rows = spark.range(10_000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
+    assert classifiers.bounded_for_fit(rows, "y", 20_000) is rows
+    sample = classifiers.bounded_for_fit(rows, "y", 1_000)
+    assert 800 < sample.count() < 1_200
+    assert 0.05 < sample.agg(F.avg("y")).first()[0] < 0.15
+    assert sample.collect() == classifiers.bounded_for_fit(rows, "y", 1_000).collect()
+
+
 def test_pca(blobs):
     rows = features.standardize_array(blobs.withColumn("v", F.array(*NAMES)), "v").cache()
     model = clustering.fit_pca(rows)

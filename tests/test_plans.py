@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from riskloom.operators.filters import exists_flag
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,5 +60,18 @@ def test_key_filter_reaches_the_scan(plan_of):
 
 
 def test_row_work_does_not_shuffle(plan_of):
-    for name in ("fact_history_enriched", "nearest_centroid", "standardize", "document_flatten"):
+    for name in ("fact_history_enriched", "standardize", "document_flatten"):
         assert shuffles(plan_of(name)) == 0
+
+
+def test_labels_are_joined_after_the_shuffle(plan_of):
+    for name in ("client_detail_view", "star_enrich_top"):
+        exchanges = [line for line in plan_of(name).splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and not any("descripcion" in line or "nivel_educativo" in line for line in exchanges)
+
+
+def test_existence_pushes_its_condition_down(spark):
+    rows = spark.read.parquet(f"{SF}/orders.parquet")
+    flag = exists_flag(rows, F.col("o_totalprice") > 400_000)
+    assert "GreaterThan(o_totalprice" in flag._jdf.queryExecution().executedPlan().toString()
+    assert flag.first()["existe"] == 1 and exists_flag(rows, F.lit(False)).first()["existe"] == 0

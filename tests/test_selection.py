@@ -59,7 +59,18 @@ def test_ranks_are_exact_for_any_sketch(spark, accuracy):
     assert [row[f"r{k}"] for k in (0, 1, 250, 998, 999)] == [0, 1, 250, 998, 999]
 
 
-@pytest.mark.parametrize("window_rows", [1_000_000, 50])
+@pytest.mark.parametrize("group_rows", [5, 60])
+def test_intervals_are_refined_until_they_fit(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(s, "REFINED_PARTS", 3)
+    values = [float((i * 7919) % 3000) for i in range(3000)] + [1500.0] * 4000
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    ranks = (0, 10, 1500, 3000, 5499, 5500, 6999)
+    targets = {f"r{k}": (k / 7000, F.lit(k)) for k in ranks}
+    row = s.order_statistics(df, "v", targets, accuracy=20, group_rows=group_rows).first()
+    assert [row[f"r{k}"] for k in ranks] == [sorted(values)[k] for k in ranks]
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 50, 4])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, window_rows, descending):
     rows = [("a" if i % 3 else "b", i / 7, i % 5) for i in range(400)]
@@ -75,8 +86,10 @@ def test_running_totals(spark, window_rows, descending):
 
 
 @pytest.mark.parametrize("top", [0, 10_000])
-def test_first_n_with_ties_and_nulls(spark, monkeypatch, top):
+@pytest.mark.parametrize("copies", [1, 100_000])
+def test_first_n_with_ties_and_nulls(spark, monkeypatch, top, copies):
     monkeypatch.setattr(s, "TOP_ON_DRIVER", top)
+    monkeypatch.setattr(s, "COPIES_AT_ONCE", copies)
     rows = [(1, "a"), (2, "x"), (2, "x"), (2, "y"), (2, "z"), (3, "b"), (None, "n")]
     df = spark.createDataFrame(rows, "k long, t string").repartition(3)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])

@@ -2,6 +2,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.errors import ParseException
 from helpers import client, staging, staging_row, star, values
 
 from riskloom.functions import scalars
@@ -43,6 +44,49 @@ def test_sniffed_header(spark, tmp_path, text):
     assert [tuple(r) for r in rows.collect()] == [(1.0, 2.0, 3.0)]
 
 
+def _csv_line(**changes):
+    cells = dict.fromkeys(STAGING_SCHEMA.names, "0") | {"ID": "1", "LIMIT_BAL": "5.00", "AGE": "30"} | changes
+    return ",".join(cells.values())
+
+
+def _csv(tmp_path, *lines):
+    Path(tmp_path, "a.csv").write_text("\n".join([",".join(STAGING_SCHEMA.names), *lines]) + "\n")
+    return str(tmp_path)
+
+
+def test_csv_readers_lose_no_line(spark, tmp_path):
+    target = STAGING_SCHEMA.names[-1]
+    path = _csv(tmp_path, _csv_line(), _csv_line(ID=""), _csv_line(ID="3", **{target: ""}), _csv_line(ID="4", LIMIT_BAL=" "))
+    rows = csvfiles.read_staging_csv(spark, path)
+    assert {r["ID"]: r["LIMIT_BAL"] for r in rows.collect()}[4] is None
+    assert {r["ID"] for r in rows.collect()} == {1, None, 3, 4}
+    assert {r["ID"]: r[target] for r in rows.collect()} == {1: 0, None: 0, 3: None, 4: 0}
+    assert {r["ID"] for r in csvfiles.read_sniffed_csv(spark, path).collect()} == {1.0, None, 3.0, 4.0}
+    assert [r["ID"] for r in csvfiles.read_numeric_csv(spark, path).collect()] == [1.0]
+
+
+@pytest.mark.parametrize("reader", [csvfiles.read_staging_csv, csvfiles.read_numeric_csv, csvfiles.read_sniffed_csv])
+@pytest.mark.parametrize("bad", [_csv_line(ID="x9"), _csv_line(AGE="old"), "1,2,3", _csv_line() + ",7"])
+def test_csv_readers_raise_on_bad_lines(spark, tmp_path, reader, bad):
+    with pytest.raises(Exception, match="(?i)CAST_INVALID_INPUT|MALFORMED"):
+        reader(spark, _csv(tmp_path, _csv_line(), bad)).select("ID").collect()
+        reader(spark, _csv(tmp_path, _csv_line(), bad)).collect()
+
+
+@pytest.mark.parametrize("text", [
+    "WITH x AS (SELECT 7 AS a) INSERT INTO t SELECT a FROM x", "/* read */ DROP TABLE t", "SELECT 1; SELECT 2", "-- x\nINSERT INTO t VALUES (1)",
+    "SET a=b", "CREATE VIEW v AS SELECT 1", "SELECT TRANSFORM(a) USING 'cat' AS b FROM t", "SHOW TABLES", "DELETE FROM t", "not sql",
+])
+def test_statements_that_do_not_only_read_are_refused(spark, text):
+    with pytest.raises((ValueError, ParseException)):
+        tables.run_query(spark, text)
+
+
+@pytest.mark.parametrize("text", ["SELECT 1 AS a", "/* x */ with x as (select 1 a) select * from x", "VALUES (1)"])
+def test_reading_statements_run(spark, text):
+    assert tables.run_query(spark, text).first()[0] == 1
+
+
 def test_views_preview_and_queries(spark):
     s = star(spark, [client(1)], [(1, 0)], [(1, 1, 0, None, None)])
     tables.register_views(s, staging(spark, staging_row(2)))
