@@ -30,8 +30,8 @@ SIGNATURE, BAND_MISS = 256, 1e-5
 #: Signature values compared at a time, and the posterior probability below which a pair is dropped.
 BATCH, VERIFY_MISS = 32, 1e-7
 #: Members of a bucket in a block.
-BLOCK = 256
-KNOWN_WORDS = 300_000
+BLOCK = 64
+KNOWN_WORDS = 100_000
 SLICE = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
