@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.filters import nan_as_null
 from riskloom.operators.selection import order_statistics
 from riskloom.sizing import join_checked
 
@@ -41,13 +42,15 @@ def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     """Columns as z-scores with the population deviation; a constant column becomes 0.
 
     ``fit_on`` supplies the statistics (the training rows); by default ``df``.
-    They are one row, so the scaling itself is a projection. NULLs stay.
+    They are one row, so the scaling itself is a projection. NULLs stay,
+    and NaN becomes NULL.
     """
     parts = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
         parts += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
-    facts = (df if fit_on is None else fit_on).agg(*parts).first()
+    df = nan_as_null(df)
+    facts = (df if fit_on is None else nan_as_null(fit_on)).agg(*parts).first()
     scaled = {}
     for i, c in enumerate(columns):
         mean, spread = facts[f"m{i}"], facts[f"s{i}"]

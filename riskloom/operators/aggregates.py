@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import percent
+from riskloom.operators.filters import nan_as_null
 from riskloom.operators.reshape import to_variables
 from riskloom.operators.selection import exact_quantiles
 
 
 def group_means(df: DataFrame, group: str, columns: Sequence[str], target: str, digits: int = 2) -> DataFrame:
-    """Means of ``columns`` and the target rate in % per group, rounded once."""
+    """Means of ``columns`` and the target rate in % per group, rounded once; NaN counts as missing."""
     return (
-        df.groupBy(group)
+        nan_as_null(df).groupBy(group)
         .agg(
             *[F.round(F.avg(F.col(c).cast("double")), digits).alias(c) for c in columns],
             F.round(F.avg(F.col(target).cast("double")) * 100, digits).alias("tasa_default_pct"),
@@ -32,6 +33,7 @@ def group_statistics(
 
     Medians come from rank selection, so a hot group is never held in one task.
     """
+    df = nan_as_null(df)
     base = (
         df.where(F.col(group).isNotNull())
         .groupBy(group)
@@ -75,8 +77,8 @@ def global_rate(df: DataFrame, target: str) -> DataFrame:
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the mean of each column."""
-    return df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+    """One row with the mean of each column; NaN counts as missing."""
+    return nan_as_null(df).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
 
 
 def value_frequency(df: DataFrame, column: str, digits: int = 2) -> DataFrame:

@@ -20,13 +20,15 @@ def audit_rows(
 ) -> DataFrame:
     """Change-log rows from (``key``, ``before``, ``after``) rows.
 
-    NULL on one side tells inserts from deletes. A projection, so it serves
-    batch and streaming frames alike.
+    Flags ``was`` and ``is`` say on which sides the key is; without them, NULL
+    on one side tells inserts from deletes. A projection, so it serves batch and
+    streaming frames alike.
     """
-    operation = (
-        F.when(F.col("before").isNull(), "I").when(F.col("after").isNull(), "D").otherwise("U")
-    )
-    return changes.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select(
+    flagged = {"was", "is"} <= set(changes.columns)
+    was = F.col("was") if flagged else F.col("before").isNotNull()
+    now = F.col("is") if flagged else F.col("after").isNotNull()
+    operation = F.when(~was, "I").when(~now, "D").otherwise("U")
+    return changes.where(was | now).select(
         F.lit(table).alias("tabla_afectada"),
         operation.alias("operacion"),
         F.col("key").cast("long").alias("id_registro_afectado"),
@@ -40,18 +42,21 @@ def audit_rows(
 def snapshot_changes(
     before: DataFrame, after: DataFrame, key: str, value: str, include_unchanged: bool = False
 ) -> DataFrame:
-    """(``key``, ``before``, ``after``) rows between two snapshots with unique keys.
+    """(``key``, ``before``, ``after``, ``was``, ``is``) rows between two snapshots with unique keys.
 
     Both sides are stacked and grouped by key: one shuffle, combined map-side.
     ``include_unchanged`` also reports keys present in both with equal values,
     as an update that sets the same value would.
     """
-    old = before.select(F.col(key).alias("key"), F.col(value).alias("before"), F.lit(None).cast("int").alias("after"))
-    new = after.select(F.col(key).alias("key"), F.lit(None).cast("int").alias("before"), F.col(value).alias("after"))
-    sides = old.unionByName(new).groupBy("key").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    nothing = F.lit(None).cast(before.schema[value].dataType)
+    old = before.select(F.col(key).alias("key"), F.col(value).alias("before"), nothing.alias("after"), F.lit(True).alias("was"), F.lit(False).alias("is"))
+    new = after.select(F.col(key).alias("key"), nothing.alias("before"), F.col(value).alias("after"), F.lit(False).alias("was"), F.lit(True).alias("is"))
+    sides = old.unionByName(new).groupBy("key").agg(
+        F.max("before").alias("before"), F.max("after").alias("after"), F.max("was").alias("was"), F.max("is").alias("is")
+    )
     if include_unchanged:
         return sides
-    return sides.where(~F.col("before").eqNullSafe(F.col("after")))
+    return sides.where((F.col("was") != F.col("is")) | ~F.col("before").eqNullSafe(F.col("after")))
 
 
 def with_audit_id(log: DataFrame) -> DataFrame:

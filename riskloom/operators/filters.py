@@ -87,6 +87,12 @@ def split_columns(df: DataFrame, categorical: Sequence[str] = REPORT_CATEGORICAL
     return [c for c in df.columns if c not in categorical], [c for c in df.columns if c in categorical]
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """Float and double columns with NaN as NULL, as both mean a missing number."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in floating}) if floating else df
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of a numeric type, in schema order."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

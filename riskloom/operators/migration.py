@@ -64,15 +64,21 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFr
 
 
 @dataclass(frozen=True)
-class BatchResult:
-    """What one batch adds and what it leaves."""
+class BatchPlan:
+    """The rows of one batch (written once), the rows it leaves, and its report. Nothing else is written for these."""
 
     batch: DataFrame
+    staging: DataFrame
+    report: DataFrame
+
+
+@dataclass(frozen=True)
+class BatchResult(BatchPlan):
+    """What one batch adds and what it leaves."""
+
     new_clients: DataFrame
     new_targets: DataFrame
     new_history: DataFrame
-    staging: DataFrame
-    report: DataFrame
 
     def applied_to(self, star: CreditStar) -> CreditStar:
         return CreditStar(
@@ -125,14 +131,12 @@ def check_new_rows(unseen: DataFrame, new_targets: DataFrame, new_history: DataF
         raise ValueError(f"batch rejected, nothing written: {broken}")
 
 
-def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
-    """Move the next ``n`` staging rows (by id) into the three tables.
+def plan_batch(staging: DataFrame, n: int) -> BatchPlan:
+    """The next ``n`` staging rows (by id), what they leave, and the report.
 
-    Clients and targets already loaded are skipped; history is skipped only
-    where (client, month, status) is already there. The rows to insert are kept
-    in the shared folder, so the comparison with the loaded tables runs once,
-    and are checked before they are returned. The batch leaves staging whole,
-    also rows that were skipped, and the report counts the batch, not the inserts.
+    The batch is chosen and written once; all else is derived from it. It
+    leaves staging whole, also rows that will be skipped, and the report counts
+    the batch, not the inserts.
     """
     require_positive(n)
     sizes = staging.agg(F.count("*").alias("rows"), F.count("ID").alias("keyed")).first()
@@ -140,30 +144,34 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
         raise ValueError("no rows in staging")
     if sizes["keyed"] < sizes["rows"]:
         raise ValueError("batch rejected, nothing written: staging rows without ID come first")
-    batch, _ = split_first_n(staging, "ID", n, sizes["keyed"])
-    unseen = materialize(without_ids(batch, "ID", star.dim_cliente, "id_cliente"), "lote")
-    new_targets = materialize(new_rows(targets_from(batch), star.riesgo_crediticio, ["id_cliente"]), "lote")
-    new_history = materialize(
-        new_rows(unpivot_history(batch), star.historial_pagos, ["id_cliente", "id_mes", "id_estatus_pago"]), "lote"
-    )
-    check_new_rows(unseen, new_targets, new_history)
-    remaining = without_ids(staging, "ID", batch, "ID")
-    counted = batch.agg(F.count("*").alias("c"), F.lit("m").alias("kind")).unionByName(
-        remaining.agg(F.count("*").alias("c"), F.lit("r").alias("kind"))
-    )
-    report = counted.agg(
+    batch = materialize(split_first_n(staging, "ID", n, sizes["keyed"])[0], "lote")
+    facts = batch.agg(F.count("*").alias("rows"), F.max("ID").alias("last")).first()
+    # all smaller ids are in the batch, so the rows it takes along are those up to its last id
+    remaining = staging.where(F.col("ID") > F.lit(facts["last"]))
+    report = remaining.agg(
         F.lit(n).cast("long").alias("registros_solicitados"),
-        F.max(F.when(F.col("kind") == "m", F.col("c"))).alias("registros_migrados"),
-        F.max(F.when(F.col("kind") == "r", F.col("c"))).alias("registros_restantes_staging"),
+        F.lit(facts["rows"]).alias("registros_migrados"),
+        F.count("*").alias("registros_restantes_staging"),
     )
-    return BatchResult(
-        batch=batch,
-        new_clients=clients_from(unseen),
-        new_targets=new_targets,
-        new_history=new_history,
-        staging=remaining,
-        report=report,
+    return BatchPlan(batch, remaining, report)
+
+
+def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
+    """Move the next ``n`` staging rows (by id) into the three tables.
+
+    Clients and targets already loaded are skipped; history is skipped only
+    where (client, month, status) is already there. The rows to insert are kept
+    in the shared folder, so the comparison with the loaded tables runs once,
+    and are checked before they are returned.
+    """
+    plan = plan_batch(staging, n)
+    unseen = materialize(without_ids(plan.batch, "ID", star.dim_cliente, "id_cliente"), "lote")
+    new_targets = materialize(new_rows(targets_from(plan.batch), star.riesgo_crediticio, ["id_cliente"]), "lote")
+    new_history = materialize(
+        new_rows(unpivot_history(plan.batch), star.historial_pagos, ["id_cliente", "id_mes", "id_estatus_pago"]), "lote"
     )
+    check_new_rows(unseen, new_targets, new_history)
+    return BatchResult(plan.batch, plan.staging, plan.report, clients_from(unseen), new_targets, new_history)
 
 
 def delete_first_n(staging: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -8,22 +8,24 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.filters import numeric_columns
+from riskloom.operators.filters import nan_as_null, numeric_columns
 from riskloom.operators.reshape import to_variables
 from riskloom.operators.selection import exact_quantiles
 from riskloom.sizing import join_checked
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles and max per numeric column, quartiles exact."""
+    """Count, mean, std, min, quartiles and max per numeric column, quartiles exact; NaN counts as missing.
+
+    The moments of all columns are one wide aggregate of one row.
+    """
     columns = list(columns or numeric_columns(df))
-    rows = to_variables(df, columns)
-    moments = rows.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    rows = to_variables(numbers, columns)
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = numbers.agg(*[F.struct(*[f(c).alias(k) for k, f in kinds.items()]).alias(c) for c in columns])
+    moments = wide.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}`")[k].alias(k) for k in kinds]) for c in columns]))
     )
     quartiles = exact_quantiles(rows, "value", [0.25, 0.5, 0.75], ["variable"]).drop("n")
     return join_checked(moments, quartiles, ["variable"], "left").select(
@@ -32,15 +34,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
-    """NULLs per column, one pass for all columns."""
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """NULLs and NaNs per column, one pass for all columns."""
+    wide = nan_as_null(df).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     return wide.unpivot([], df.columns, "columna", "faltantes")
 
 
 def frame_info(df: DataFrame) -> DataFrame:
     """Position, name, type and non-null count of each column, with the row count."""
     fields = df.schema.fields
-    wide = df.agg(
+    wide = nan_as_null(df).agg(
         F.count("*").alias("__filas"), *[F.count(F.col(f.name)).alias(f.name) for f in fields]
     )
     columns = F.array(
@@ -175,7 +177,7 @@ def _holed(numbers: DataFrame) -> frozenset[str]:
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(x, y, correlation) for each unordered pair, all pairs in one aggregate."""
     columns = list(columns or numeric_columns(df))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
@@ -200,7 +202,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     both = upper.select(
         F.inline(F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("r"))))
     )
-    wide = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns])
+    numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    wide = numbers.agg(*[F.var_pop(c).alias(c) for c in columns])
     diagonal = wide.unpivot([], columns, "x", "v").select(
         "x", F.col("x").alias("y"), F.when(F.col("v") > 0, F.lit(1.0)).alias("r")
     )
@@ -210,7 +213,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of each column with the target, largest first."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]])
+    numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]]))
     holed = _holed(numbers)
     wide = numbers.agg(*[_correlation(c, target, holed).alias(c) for c in columns])
     return wide.unpivot([], columns, "variable", "r").orderBy(F.col("r").desc_nulls_last(), "variable")

@@ -322,6 +322,11 @@ def count_duplicates(df: DataFrame) -> DataFrame:
     )
 
 
+def without_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    """One row of each set of equal rows (or of rows equal in ``subset``)."""
+    return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
+
+
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values of a column."""
     return df.select(column).distinct().orderBy(column)

@@ -72,12 +72,12 @@ def migrate_batch_history(spark, sf_dir):
   (SELECT count(*) FROM staging WHERE ID NOT IN (SELECT ID FROM lote)) AS registros_restantes_staging"""
 )
 def migrate_batch_report(spark, sf_dir):
-    return _batch(spark, sf_dir).report
+    return migration.plan_batch(materialize(b.staging(spark, sf_dir), "staging"), BATCH).report
 
 
 @query(b.STAR_SQL + f", {_BATCH_SQL} SELECT * FROM staging WHERE ID NOT IN (SELECT ID FROM lote)")
 def staging_remaining(spark, sf_dir):
-    return _batch(spark, sf_dir).staging
+    return migration.plan_batch(materialize(b.staging(spark, sf_dir), "staging"), BATCH).staging
 
 
 @query(

@@ -188,7 +188,7 @@ def _scaled_sql(deviation: str) -> str:
     cells = ", ".join(
         f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / "
         f"{deviation}(embedding[{i}]::DOUBLE) OVER (), 6) + 0 AS x{i - 1}"
-        for i in (1, 2, _DIM)
+        for i in range(1, _DIM + 1)
     )
     return f"SELECT vec_id, {cells} FROM embeddings"
 
@@ -202,7 +202,7 @@ def csv_feature_sink(spark, sf_dir):
     csvfiles.write_features(prepared.fit(rows).transform(rows), path, "features", _NAMES, "vec_id")
     schema = ", ".join([*[f"{n} double" for n in _NAMES], "vec_id bigint"])
     back = spark.read.schema(schema).option("header", True).csv(path)
-    return back.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x0", "x1", f"x{_DIM - 1}")])
+    return back.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in _NAMES])
 
 
 @query(_scaled_sql("stddev_pop"))
@@ -210,7 +210,7 @@ def standardize_vectors(spark, sf_dir):
     """Whole vectors scaled by the population deviation of each part."""
     cells = vector_to_array("features")
     return _scaled(spark, sf_dir).select(
-        "vec_id", *[(F.round(cells[i], 6) + 0.0).alias(f"x{i}") for i in (0, 1, _DIM - 1)]
+        "vec_id", *[(F.round(cells[i], 6) + 0.0).alias(f"x{i}") for i in range(_DIM)]
     )
 
 

@@ -9,6 +9,7 @@ from riskloom.operators import profile, reshape
 from riskloom.operators import star as star_ops
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
+from riskloom.schemas import BILL_COLUMNS, PAID_COLUMNS, PAY_COLUMNS
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -143,10 +144,8 @@ def correlation_matrix(spark, sf_dir):
     return _rounded(profile.correlation_matrix(b.table(spark, sf_dir, "lineitem"), _LINE), {"r": 6})
 
 
-_CREDIT = [
-    "edad", "limite_credito", "PAY_0", "PAY_2", "PAY_3", "BILL_AMT1", "BILL_AMT2", "BILL_AMT3",
-    "PAY_AMT1", "PAY_AMT2", "PAY_AMT3",
-]
+#: all predictors of the ML dataset
+_CREDIT = ["limite_credito", "id_sexo", "id_educacion", "id_estado_civil", "edad", *PAY_COLUMNS, *BILL_COLUMNS, *PAID_COLUMNS]
 
 
 def _target_corr(digits: int = 6) -> str:
@@ -162,7 +161,7 @@ def target_correlation(spark, sf_dir):
     return _rounded(profile.target_correlation(data, "target", _CREDIT), {"r": 6})
 
 
-@query(_target_corr() + " SELECT variable, round(abs(r), 6) AS r_abs FROM c ORDER BY abs(r) DESC LIMIT 10")
+@query(_target_corr() + " SELECT variable, round(abs(r), 6) AS r_abs FROM c ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 10")
 def top_correlations(spark, sf_dir):
     data = b.stored_dataset(spark, sf_dir, *_CREDIT, "target")
     return _rounded(profile.top_correlations(data, "target", 10, _CREDIT), {"r_abs": 6})
@@ -170,7 +169,7 @@ def top_correlations(spark, sf_dir):
 
 @query(
     _target_corr()
-    + """, t AS (SELECT variable FROM c ORDER BY abs(r) DESC LIMIT 3),
+    + """, t AS (SELECT variable FROM c ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 10),
   v AS (UNPIVOT (SELECT id_cliente, """
     + ", ".join(f'CAST({v} AS DOUBLE) AS "{v}"' for v in _CREDIT)
     + """, CAST(target AS DOUBLE) AS target FROM vw_ml_dataset) ON * EXCLUDE (id_cliente) INTO NAME variable VALUE value),
@@ -180,7 +179,7 @@ def top_correlations(spark, sf_dir):
 )
 def correlation_submatrix(spark, sf_dir):
     data = b.stored_dataset(spark, sf_dir, *_CREDIT, "target")
-    return _rounded(profile.top_correlation_matrix(data, "target", 3, _CREDIT), {"r": 6})
+    return _rounded(profile.top_correlation_matrix(data, "target", 10, _CREDIT), {"r": 6})
 
 
 @query(

@@ -48,7 +48,7 @@ class CreditStore:
             return self.spark.createDataFrame([], schema)
 
     def log(self) -> DataFrame:
-        return self._read("lotes", _LOG)
+        return self._read("lotes", _LOG).select(*_LOG.names)
 
     def _published(self, name: str) -> DataFrame:
         schema = T.StructType([*_SCHEMAS[name].fields, T.StructField("lote", T.IntegerType())])
@@ -90,7 +90,10 @@ class CreditStore:
         for name, rows in new.items():
             rows.write.mode("overwrite").parquet(f"{self.root}/{name}/lote={lote}")
         row = self.spark.createDataFrame([(lote, *report)], _LOG)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/lotes")
+        try:  # one folder a batch: a second writer of the same number finds it there
+            row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/lotes/numero={lote}")
+        except AnalysisException as error:
+            raise RuntimeError(f"batch {lote} was published by another writer; run it again") from error
         return row.drop("lote")
 
 

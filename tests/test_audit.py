@@ -78,3 +78,11 @@ def test_stream_of_changes(spark):
         "operacion", "id_registro_afectado", "a", "d", "usuario",
     )
     assert got == [("D", 2, "1", "-", "luis"), ("I", 1, "-", "1", "ana"), ("U", 2, "0", "1", "ana")]
+
+
+def test_null_values_are_no_absence(spark):
+    before = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, 0)], "k long, v int")
+    after = spark.createDataFrame([(1, 1), (2, None), (3, None), (5, None)], "k long, v int")
+    found = audit.audit_rows(audit.snapshot_changes(before, after, "k", "v"))
+    rows = {r["id_registro_afectado"]: (r["operacion"], r["datos_antes"], r["datos_despues"]) for r in found.collect()}
+    assert rows == {1: ("U", None, "1"), 2: ("U", "1", None), 4: ("D", "0", None), 5: ("I", None, None)}

@@ -86,3 +86,12 @@ def test_probability_statistics(spark):
     row = profile.probability_statistics(df, "p").first()
     assert (row["media"], row["mediana"]) == (0.5, 0.5)
     assert row["desviacion"] == pytest.approx(math.sqrt(0.125))
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (float("nan"), 3), (None, 4)], "x double, y int")
+    row = profile.describe(df, ["x"]).first()
+    assert (row["count"], row["mean"], row["min"], row["q50"], row["max"]) == (2, 1.5, 1.0, 1.5, 2.0)
+    assert {r["columna"]: r["faltantes"] for r in profile.missing_by_column(df).collect()} == {"x": 2, "y": 0}
+    assert {r["columna"]: r["no_nulos"] for r in profile.frame_info(df).collect()} == {"x": 2, "y": 4}
+    assert profile.correlation_pairs(df, ["x", "y"]).first()["r"] == pytest.approx(1.0)
