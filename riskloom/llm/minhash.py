@@ -25,10 +25,11 @@ from riskloom.llm.graph import components
 from riskloom.session import Scratch
 
 SHINGLE_WORDS = 5
-#: Longest signature, and the probability that banding misses a pair just at the threshold.
+#: Signature values that bands may use, and the probability that banding misses a pair just at the threshold.
 SIGNATURE, BAND_MISS = 256, 1e-5
-#: Signature values compared at a time, and the posterior probability below which a pair is dropped.
-BATCH, VERIFY_MISS = 32, 1e-7
+#: Signature values for verification, how many are compared at a time, and the posterior probability below which a
+#: pair is dropped.
+VALUES, BATCH, VERIFY_MISS = 576, 32, 1e-5
 #: Members of a bucket in a block.
 BLOCK = 64
 KNOWN_WORDS = 100_000
@@ -134,13 +135,13 @@ def _sketches(docs: DataFrame, rows: int, bands: int) -> DataFrame:
     """(id, n, class_id, near_id, signature, bands) per row; near_id is 64 bits of class_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles(rows * bands)
+        made = Shingles(VALUES)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = made.sets(texts(part.column("text")))
                 full = [s for s in sets if len(s)]
                 digests = iter([xxhash.xxh3_128_digest(s.tobytes()) for s in full])
-                signature = made.signatures(full) if full else np.zeros((0, rows * bands), np.uint32)
+                signature = made.signatures(full) if full else np.zeros((0, VALUES), np.uint32)
                 keys = iter(band_keys(signature, rows, bands))
                 short = iter(signature.astype(np.uint16))
                 class_ids = [next(digests) if len(s) else None for s in sets]
@@ -265,7 +266,7 @@ def near_duplicates(
     sets = scratch.keep(_full_sets(source.join(needed.hint("merge"), "id", "left_semi")).distinct(), "sets")
 
     lone = members.withColumns({"component": F.col("id"), "main": F.lit(-1).cast("long")})
-    first = _pairs(lone.where("id = head"), lone.where("id <> head"), percent, rows * bands)
+    first = _pairs(lone.where("id = head"), lone.where("id <> head"), percent, VALUES)
     links = scratch.keep(_confirmed(first, sets, percent), "links-first")
     groups = scratch.keep(components(links, scratch, "first"), "groups-first")
 
@@ -289,7 +290,7 @@ def near_duplicates(
     apart = placed.where("id <> head").join(main, "band").select("band", "id", "n", "component", "main", "size", "outside")
     apart = apart.hint("merge").join(members.select("band", "id", "signature"), ["band", "id"])
     outer = apart.where("component <> main").withColumn("size", F.col("outside"))
-    second = _pairs(outer, apart, percent, rows * bands)
+    second = _pairs(outer, apart, percent, VALUES)
     more = scratch.keep(_confirmed(second, sets, percent), "links-second")
     final = scratch.keep(components(links.union(more), scratch, "second"), "groups")
 
