@@ -118,10 +118,11 @@ def is_boilerplate(node: Node) -> bool:
 
 
 def finish(node: Node, shapes: dict[tuple, int]) -> None:
-    """Give every node its shape (a number for its structure), size and text digest."""
+    """Give every node its shape (a number for its structure), size and text digest (empty for white space alone)."""
     if node.text is not None:
         node.shape, node.size = 0, 1
-        node.digest = node.digest or blake2b(" ".join(html.unescape(node.text).split()).encode("utf-8", "replace"), digest_size=8).hexdigest()
+        if not node.digest and (words := " ".join(html.unescape(node.text).split())):
+            node.digest = blake2b(words.encode("utf-8", "replace"), digest_size=8).hexdigest()
         return
     for kid in node.kids:
         finish(kid, shapes)
@@ -140,14 +141,15 @@ def skeleton(root: Node) -> str:
 
 
 def from_skeleton(text: str, shapes: dict[tuple, int]) -> tuple[Node, list[Node]]:
-    """The tree of a skeleton and its text nodes in order."""
+    """The tree of a skeleton and its text nodes in order, without those of white space alone."""
     pieces: list[Node] = []
 
     def build(laid: list | str) -> Node:
         if isinstance(laid, str):
             node = Node("#text", text="")
             node.digest = laid
-            pieces.append(node)
+            if laid:
+                pieces.append(node)
             return node
         node = Node(laid[0], laid[1])
         node.kids = [build(k) for k in laid[2:]]

@@ -21,8 +21,6 @@ from riskloom.session import Scratch
 
 #: A reference text is template if it is the same in so large a part of the host's other pages, and in so many.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 2
-#: Pages that share so large a part of their texts with the reference are copies of it and tell nothing.
-COPY_SHARE = 0.8
 #: Wrappers are broadcast up to so many hosts and bytes; beyond, pages and wrappers are joined by host.
 BROADCAST_HOSTS, BROADCAST_BYTES = 10_000, 32 << 20
 KNOWN = 20_000
@@ -65,14 +63,13 @@ class Aligner:
             self.references[reference] = dom.from_skeleton(reference, self.shapes)
         tree, pieces = self.references[reference]
         number = {id(p): i for i, p in enumerate(pieces)}
-        return [(x, number[id(y)]) for x, y in self.matcher.texts(root, tree)]
+        return [(x, number[id(y)]) for x, y in self.matcher.texts(root, tree) if id(y) in number]
 
     def same(self, root: dom.Node, reference: str) -> list[int] | None:
         """Numbers of the reference's texts that are the same in the page; None for a copy of the reference."""
         pairs = self.aligned(root, reference)
-        pieces = self.references[reference][1]
-        equal = [i for x, i in pairs if x.digest == pieces[i].digest]
-        return None if len(equal) >= COPY_SHARE * len(pieces) else equal
+        tree, pieces = self.references[reference]
+        return None if root.digest == tree.digest else [i for x, i in pairs if x.digest == pieces[i].digest]
 
 
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:

@@ -156,6 +156,16 @@ def test_copies_on_a_host_are_no_template(spark):
     assert extracted(spark, [(i, "http://b.example/", page) for i in range(6)]) == {i: "One Two Three" for i in range(6)}
 
 
+def test_large_template_still_counts(spark):
+    menu = "".join(f"<div><p>Menu {j}</p></div>\n  " for j in range(40))
+    page = lambda i: (
+        i, f"http://a.example/{i}",
+        f"<body>\n  {menu}<div>\n" + "".join(f"    <p>Body {i} {j}</p>\n" for j in range(6)) + "  </div>\n  <div><p>Call us</p></div>\n</body>",
+    )
+    found = extracted(spark, [page(i) for i in range(1, 8)])
+    assert found == {i: " ".join(f"Body {i} {j}" for j in range(6)) for i in range(1, 8)}
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b<b>c</b>d<br>e", "a bcd e"),
     ("<nav>m</nav><article><h1>T</h1><p>x &lt;y&gt; &#233; &amp</p><div class='comments'>no</div></article><footer>f</footer>", "T x <y> é &"),
