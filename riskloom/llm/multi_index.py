@@ -120,14 +120,15 @@ def search(
         for batch in batches:
             if not len(batch):
                 continue
-            x = batch.column("vector").flatten().to_numpy().reshape(-1, dimension)
+            x = batch.column("vector").flatten().to_numpy().reshape(-1, dimension) + 0.0  # no negative zeros
             c1, c2 = _nearest(x[:, :half], books.value[0]), _nearest(x[:, half:], books.value[1])
             raw = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(c1, pa.int32()), pa.array(c2, pa.int32()), raw], names=["id", "c1", "c2", "x"]
             )
 
-    coded = scratch.keep(valid.mapInArrow(quantise, f"id {id_type}, c1 int, c2 int, x binary"), "coded")
+    coded = valid.mapInArrow(quantise, f"id {id_type}, c1 int, c2 int, x binary")
+    coded = scratch.keep(coded.distinct(), "coded")  # rows that repeat would take places among a block's nearest
     cells = (
         coded.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("x")).alias("d")).toArrow()
     )  # at most CENTROIDS ** 2 rows
@@ -161,7 +162,7 @@ def search(
                 )
 
     probes = scratch.keep(
-        asked.distinct().mapInArrow(traverse, f"id {id_type}, c1 int, mask binary, x binary"), "probes"
+        asked.mapInArrow(traverse, f"id {id_type}, c1 int, mask binary, x binary"), "probes"
     )
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asking = (

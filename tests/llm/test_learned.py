@@ -239,6 +239,18 @@ def test_search_of_all_cells_is_exact(spark):
     assert searched(spark, []) == {} and searched(spark, [(10, None)]) == {}
 
 
+@pytest.mark.parametrize("times", [3, 20])
+def test_repeated_rows_take_no_places(spark, monkeypatch, times):
+    monkeypatch.setattr(multi_index, "CENTROIDS", 2)  # many rows in a block
+    draw = np.random.default_rng(4)
+    vectors = [(i, [float(np.float32(x)) for x in draw.normal(size=8)]) for i in range(60)]
+    vectors[7] = (7, [0.0, *vectors[7][1][1:]])
+    exact = by_force(vectors, 10, 10)
+    repeated = vectors * times + [(7, [-0.0, *vectors[7][1][1:]])] * times
+    assert searched(spark, repeated, least=10**6) == exact
+    assert searched(spark, vectors[:6] * times, least=10**6) == by_force(vectors[:6], 10, 10)
+
+
 def test_recall_of_a_part(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(20, 8)) * 4
