@@ -40,6 +40,7 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _KIND = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -131,6 +132,37 @@ def finish(node: Node, shapes: dict[tuple, int]) -> None:
     node.digest = blake2b("".join(k.digest for k in node.kids).encode(), digest_size=8).hexdigest()
 
 
+def layout(root: Node) -> str:
+    """A digest of the tree's upper levels: the set of elements on the first level of the body with several of them.
+
+    Digits in names do not count, neither do order and number.
+    """
+    # an html or body that is missing is passed over
+    level = [root]
+    while True:
+        below = [k for n in level for k in n.kids if k.text is None and k.tag not in ("head", "br", *RAW)]
+        if not below:
+            break
+        level = below
+        if len(level) > 1 and not any(n.tag in ("html", "body") for n in level):
+            break
+    names = sorted({_DIGITS.sub("0", f"{n.tag} {n.kind}") for n in level})
+    return blake2b("\n".join(names).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def content(root: Node) -> list[str]:
+    """The digests of the texts that the elements alone leave, in page order, without those of white space alone."""
+    out, todo = [], main_parts(root)[::-1]
+    while todo:
+        node = todo.pop()
+        if node.text is not None:
+            if node.digest:
+                out.append(node.digest)
+        elif node.tag != "title" and not is_boilerplate(node):
+            todo.extend(reversed(node.kids))
+    return out
+
+
 def skeleton(root: Node) -> str:
     """A tree without its texts: element names, kinds and text digests, as JSON."""
 

@@ -166,6 +166,25 @@ def test_large_template_still_counts(spark):
     assert found == {i: " ".join(f"Body {i} {j}" for j in range(6)) for i in range(1, 8)}
 
 
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_every_layout_has_a_wrapper(spark, monkeypatch, limit):
+    monkeypatch.setattr(extraction, "BROADCAST_LAYOUTS", limit, raising=False)
+    url = "http://a.example/"
+    pages = [(1, url, None), (2, url, ""), (3, url, "<html><body><h1>500 Server Error</h1></body></html>")]
+    for i in range(10, 16):
+        pages.append((i, url, f"<body><div><p>Daily paper</p></div><div><p>One {i}</p></div><div><p>Call us</p></div></body>"))
+        pages.append((i + 10, url, f"<body><table><tr><td>Shop<td>Basket</table><section><p>Two {i}</p></section><p>Paid by card</p></body>"))
+    pages += [(i, "http://two.example/", f"<body><div><p>Menu</p></div><div><p>Text {i}</p></div></body>") for i in (30, 31)]
+    # a page with a layout of its own takes the wrapper of its host's largest
+    page = "<body><div><p>Daily paper</p></div>{}<div><p>Text {}</p></div><div><p>Call us</p></div></body>"
+    pages += [(i, "http://three.example/", page.format("<ul><li>Extra</ul>" if i == 40 else "", i)) for i in (40, 41, 42, 43)]
+    found = extracted(spark, pages)
+    assert {i: found[i] for i in (1, 2, 3)} == {1: "", 2: "", 3: "500 Server Error"}
+    assert {i: found[i] for i in range(10, 16)} == {i: f"One {i}" for i in range(10, 16)}
+    assert {i: found[i + 10] for i in range(10, 16)} == {i: f"Two {i}" for i in range(10, 16)}
+    assert (found[30], found[31], found[40]) == ("Text 30", "Text 31", "Extra Text 40")
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b<b>c</b>d<br>e", "a bcd e"),
     ("<nav>m</nav><article><h1>T</h1><p>x &lt;y&gt; &#233; &amp</p><div class='comments'>no</div></article><footer>f</footer>", "T x <y> é &"),
