@@ -272,14 +272,21 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language; ``und`` is rejected."""
+    """The rows of ``docs``, with all their columns, whose text has a language; ``und`` is rejected.
+
+    If no language was learned, no text can be told by its language, and only texts without a letter are rejected.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = WordScores(shared.value)
+        scorer = WordScores(shared.value) if shared.value.languages else None
         for batch in batches:
             for part in slices(batch, text_col, SLICE):
-                found = label_texts(texts(part.column(text_col)), scorer)
-                yield part.filter(pa.array([lang != UNKNOWN for lang, _, _ in found], pa.bool_()))
+                rows = texts(part.column(text_col))
+                if scorer:
+                    kept = [lang != UNKNOWN for lang, _, _ in label_texts(rows, scorer)]
+                else:
+                    kept = [WORD.search(text) is not None for text in rows]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if model.languages else docs.limit(0)
+    return docs.mapInArrow(run, docs.schema)

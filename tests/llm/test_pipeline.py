@@ -51,6 +51,12 @@ def test_stages(spark, make_docs, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
 
 
+def test_only_letterless_texts_go_without_a_language(spark, make_docs):
+    rows = [(1, "a text"), (2, None), (3, ""), (4, "12 34 !"), (5, "漢字"), (None, "no id"), (1, "a text")]
+    kept = corpus_pipeline.STAGES[0][1](spark, make_docs(rows), None)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 1, 5, None]
+
+
 def test_nothing_in_nothing_out(spark, make_docs, tmp_path):
     docs = make_docs([])
     for name, stage in corpus_pipeline.STAGES:
