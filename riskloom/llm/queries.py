@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, repeats, toxicity
+from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, repeats, toxicity, weighted_prints
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.folds import remainder
 from riskloom.llm.registry import QUERIES, query
@@ -117,3 +117,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_weighted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_prints.fingerprints(read(spark, sf_dir, "documents"))
