@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, repeats, toxicity, weighted_prints
+from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, norm_buckets, repeats, toxicity, weighted_prints
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.folds import remainder
 from riskloom.llm.registry import QUERIES, query
@@ -122,3 +122,36 @@ def op3_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_weighted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_prints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), s AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), f AS (
+  SELECT doc_id, r, n, term, count(*) AS tf
+  FROM (SELECT doc_id, r, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM f, s GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, r,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+""")
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
