@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, norm_buckets, repeats, toxicity, weighted_prints
+from riskloom.llm import byte_bpe, chat, extraction, language, minhash, mixing, multi_index, norm_buckets, prefix_trie, repeats, toxicity, weighted_prints
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.folds import remainder
 from riskloom.llm.registry import QUERIES, query
@@ -155,3 +155,47 @@ FROM scored WHERE score > 0 QUALIFY rank <= 50
 """)
 def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+WITH t AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT list(value ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS value
+    FROM (SELECT unnest(range(256)) AS i))
+), h AS (
+  SELECT c, turns, c - c % 20 AS base, xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda v, x: xor(v // 256, steps[xor(v, x) % 256 + 1])), 4294967295) % 4 AS taken
+  FROM t, crc
+), r AS (
+  SELECT h.c, list_concat(coalesce(b.turns, [])[1:h.taken], h.turns[h.taken + 1:]) AS turns
+  FROM h LEFT JOIN t AS b ON b.c = h.base
+), p AS (
+  SELECT c, unnest(range(len(turns) + 1)) AS depth, turns FROM r
+), n AS (
+  SELECT depth, turns[1:depth] AS prefix, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM p GROUP BY ALL
+), m AS (
+  SELECT n.*, up.conv_id AS parent_conv_id,
+         (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0
+           ELSE len(regexp_extract_all(n.prefix[n.depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM n LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.prefix = n.prefix[1:n.depth - 1]
+), k AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL
+), s AS (
+  SELECT above.depth, above.prefix, sum(x.saved) AS saved_tokens, count(*) FILTER (x.n_children IS NULL) AS n_leaves
+  FROM (SELECT m.*, k.n_children, unnest(range(m.depth + 1)) AS at FROM m LEFT JOIN k USING (conv_id, depth)) AS x
+  JOIN n AS above ON above.depth = x.at AND above.prefix = x.prefix[1:x.at] GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, m.parent_conv_id, m.n_convs, coalesce(k.n_children, 0) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, prefix) LEFT JOIN k ON k.conv_id = m.conv_id AND k.depth = m.depth
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
