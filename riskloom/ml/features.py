@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -59,6 +60,35 @@ def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     return df.withColumns(scaled)
 
 
+@dataclass(frozen=True)
+class Scaling:
+    """Mean and deviation of each part of a vector."""
+
+    mean: tuple[float, ...]
+    deviation: tuple[float, ...]
+
+
+def vector_scaling(df: DataFrame, column: str) -> Scaling:
+    """The population scaling of an array column, from one vector summary."""
+    source = df.select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
+    summary = source.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    facts = summary.select("s.mean", "s.variance", "s.count").first()
+    rows = facts["count"]
+    return Scaling(
+        tuple(facts["mean"].toArray().tolist()),
+        tuple(math.sqrt(v * (rows - 1) / rows) for v in facts["variance"].toArray().tolist()),
+    )
+
+
+def scale_array(df: DataFrame, column: str, scaling: Scaling, output: str = "features") -> DataFrame:
+    """An array of numbers as a vector of z-scores; a constant part becomes 0."""
+    point = F.col(column).cast("array<double>")
+    mean = F.array(*map(F.lit, scaling.mean))
+    inverse = F.array(*[F.lit(1.0 / d if d else 0.0) for d in scaling.deviation])
+    scaled = F.zip_with(F.zip_with(point, mean, lambda x, m: x - m), inverse, lambda x, w: x * w)
+    return df.withColumn(output, array_to_vector(scaled))
+
+
 def standardize_array(
     df: DataFrame, column: str, output: str = "features", fit_on: DataFrame | None = None
 ) -> DataFrame:
@@ -66,16 +96,7 @@ def standardize_array(
 
     For wide inputs: one vector summary instead of two aggregates per column.
     """
-    point = F.col(column).cast("array<double>")
-    source = (df if fit_on is None else fit_on).select(array_to_vector(point).alias("v"))
-    summary = source.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
-    facts = summary.select("s.mean", "s.variance", "s.count").first()
-    rows = facts["count"]
-    spread = [math.sqrt(v * (rows - 1) / rows) for v in facts["variance"].toArray()]
-    mean = F.array(*[F.lit(float(m)) for m in facts["mean"].toArray()])
-    inverse = F.array(*[F.lit(1.0 / d if d else 0.0) for d in spread])
-    scaled = F.zip_with(F.zip_with(point, mean, lambda x, m: x - m), inverse, lambda x, w: x * w)
-    return df.withColumn(output, array_to_vector(scaled))
+    return scale_array(df, column, vector_scaling(df if fit_on is None else fit_on, column), output)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -66,7 +66,7 @@ def kmeans_report(spark, sf_dir):
 def kmeans_centres(spark, sf_dir):
     with features.kept(_scaled(spark, sf_dir)) as rows:
         model = clustering.fit_kmeans(rows)
-    return clustering.centre_table(model, rows, _NAMES)
+    return clustering.centre_table(model, spark, _NAMES)
 
 
 @query()
@@ -219,7 +219,7 @@ def experiment_log(spark, sf_dir):
     """A clustering run recorded as a nested document, read back and flattened."""
     with features.kept(_scaled(spark, sf_dir)) as rows:
         model = clustering.fit_kmeans(rows)
-        found = clustering.silhouette(model.transform(rows))
+        found = clustering.silhouette(clustering.assign(model, rows))
         total = rows.count()
     path = scratch_path(spark, "experiments")
     documents.append_experiment(
@@ -230,7 +230,7 @@ def experiment_log(spark, sf_dir):
         {"n_clusters": 3, "random_state": 42, "n_init": 10, "max_iter": 300},
         {
             "silhouette_score": round(found, 4),
-            "inertia": round(model.summary.trainingCost, 2),
+            "inertia": round(model.inertia, 2),
             "total_registros_procesados": total,
         },
     )

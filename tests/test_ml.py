@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 from helpers import values
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from riskloom.ml import classifiers, clustering, features, metrics
+from riskloom.ml import classifiers, clustering, features, lloyd, metrics
 from riskloom.session import scratch_path
 from riskloom.sources import csvfiles
 
@@ -64,7 +65,7 @@ def test_fill_with_means(spark):
     assert (row["a"], row["b"], row["c"]) == (100.0, 2.0, 6.0)
 
 
-def test_kmeans_finds_the_groups(blobs):
+def test_kmeans_finds_the_groups(spark, blobs):
     rows = features.assembler(NAMES, "features").transform(blobs).cache()
     model = clustering.fit_kmeans(rows, restarts=3)
     got = clustering.assign(model, rows)
@@ -74,7 +75,7 @@ def test_kmeans_finds_the_groups(blobs):
     assert max(scan, key=lambda r: r["silueta"])["k"] == 3
     predicted = clustering.predict_by_majority(got, "cluster", "y")
     assert metrics.classification_report(predicted, "y", "prediccion").where("clase = 'accuracy'").first()["f1"] == pytest.approx(115 / 120)
-    table = clustering.centre_table(model, rows, NAMES)
+    table = clustering.centre_table(model, spark, NAMES)
     centres = table.select(F.col("cluster").alias("k"), F.array(*NAMES).alias("centro"))
     direct = clustering.nearest_centre(blobs.withColumn("v", F.array(*NAMES)), "v", centres, "k")
     assert values(direct, "id", "cluster") == values(got, "id", "cluster")
@@ -154,3 +155,55 @@ def test_feature_csv(spark, blobs):
     csvfiles.write_features(rows, path, "features", NAMES, "y")
     back = spark.read.schema("a double, b double, c double, d double, y int").option("header", True).csv(path)
     assert back.exceptAll(blobs.select(*NAMES, "y")).count() == 0 and back.count() == 120
+
+
+def test_models_fitted_together_equal_models_fitted_alone(spark, monkeypatch):
+    """Whole rounds as well: the sample that starts settle on is a part of the rows."""
+    monkeypatch.setattr(lloyd, "START_ROWS", 60)
+    draw = np.random.default_rng(2)
+    points = np.concatenate([draw.normal(c, 1.0, (70, 3)) for c in (0, 3, 5)])
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>").repartition(3)
+    rows = rows.select(array_to_vector("v").alias("features")).cache()
+    settings = [(k, seed) for k in (2, 3, 5) for seed in (1, 2)]
+    together = lloyd.fit_all(rows, settings)
+    for model, setting in zip(together, settings, strict=True):
+        (alone,) = lloyd.fit_all(rows, [setting])
+        assert (model.k, model.seed) == setting and model.sizes == alone.sizes
+        assert np.allclose(model.centres, alone.centres) and model.inertia == pytest.approx(alone.inertia)
+        gaps = ((points[:, None] - model.centres) ** 2).sum(2)
+        assert model.inertia == pytest.approx(gaps.min(1).sum())
+        assert model.sizes == tuple(np.bincount(gaps.argmin(1), minlength=len(model.centres)))
+        means = np.array([points[gaps.argmin(1) == i].mean(0) for i in range(len(model.centres))])
+        assert ((means - model.centres) ** 2).sum() <= 2 * lloyd.TOLERANCE * points.var(0).mean()
+        assert list(model.sizes) == sorted(model.sizes, reverse=True)
+    widths = lloyd.silhouettes(rows, together)
+    assert widths == pytest.approx([clustering.silhouette(clustering.assign(m, rows)) for m in together])
+    rows.unpersist()
+
+
+def test_kmeans_of_few_and_of_no_rows(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],)] * 4 + [([3.0, 2.0],)], "v array<double>")
+    rows = rows.select(array_to_vector("v").alias("features"))
+    model = clustering.fit_kmeans(rows, k=5)
+    assert model.sizes == (4, 1) and model.inertia == 0
+    assert lloyd.fit_all(rows.limit(0), [(2, 1)]) == []
+    assert clustering.scan_k(rows.limit(0)).count() == 0
+
+
+def test_segments_save_and_load(spark, blobs):
+    rows = blobs.withColumn("v", F.array(*NAMES))
+    scaling = features.vector_scaling(rows, "v")
+    model = clustering.fit_kmeans(features.scale_array(rows, "v", scaling))
+    path = scratch_path(spark, "segments")
+    clustering.save_segments(model, scaling, spark, path)
+    again, its_scaling = clustering.load_segments(spark, path)
+    first = clustering.assign(model, features.scale_array(rows, "v", scaling))
+    second = clustering.assign(again, features.scale_array(rows, "v", its_scaling))
+    assert values(first, "id", "cluster") == values(second, "id", "cluster")
+    assert again.sizes == model.sizes and again.inertia == model.inertia
+
+
+def test_cluster_profile(spark):
+    rows = spark.createDataFrame([(0, 10.0, 1), (0, 20.0, 0), (1, 5.0, 1), (0, 31.0, 0)], "cluster int, limite double, y int")
+    got = [tuple(r) for r in clustering.cluster_profile(rows, ["limite"], "y").collect()]
+    assert got == [(0, 3, 20.33, 33.33), (1, 1, 5.0, 100.0)]
