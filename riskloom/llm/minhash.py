@@ -7,7 +7,8 @@ probability. Survivors are confirmed on their full shingle sets. A bucket is nev
 classes are first compared with the bucket's head, and only classes that are then still in different components are
 compared with each other, block by block. Of the unpruned pairs of two blocks, the first pass lets out a spanning
 forest of their components, the pairs of most matches first, so the rows follow the members; once these links are
-confirmed, a second pass lets out every unpruned pair between components that are still apart.
+confirmed, a second pass lets out every unpruned pair between components that are still apart. A pair is then let
+out in one bucket only, however many it shares.
 """
 
 from __future__ import annotations
@@ -198,21 +199,23 @@ def spanning(left: np.ndarray, right: np.ndarray, strength: np.ndarray) -> np.nd
     return np.array(sorted(kept), np.int64)
 
 
-def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, forest: bool) -> DataFrame:
+def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, once: bool, forest: bool) -> DataFrame:
     """Pairs (u, v, nu, nv), u < v, between two blocks (outer, inner) that no batch of their signatures prunes.
 
-    With ``forest`` only as many of them as join the same components.
+    With ``once`` a pair that shares several buckets counts in the first of them alone (by the place of the bucket
+    among a member's keys). With ``forest`` only as many pairs count as join the same components.
     """
     steps = least_matches(percent, length)
 
     def columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
         signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(-1, length)
-        return (*(rows.field(c).to_numpy() for c in ("id", "n", "component")), signature)
+        keys = rows.field("keys").flatten().to_numpy().reshape(len(signature), -1)
+        return (*(rows.field(c).to_numpy() for c in ("id", "n", "component")), signature, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outer, inner, main in zip(*map(batch.column, ("outer", "inner", "main")), strict=True):
-                (u, nu, cu, su), (v, nv, cv, sv) = columns(outer.values), columns(inner.values)
+            for outer, inner, main, band in zip(*map(batch.column, ("outer", "inner", "main", "band")), strict=True):
+                (u, nu, cu, su, ku), (v, nv, cv, sv, kv) = columns(outer.values), columns(inner.values)
                 apart = (cu[:, None] != cv) & ((cv == main.as_py()) | (u[:, None] < v))
                 near = 100 * np.minimum(nu[:, None], nv) >= percent * np.maximum(nu[:, None], nv)
                 left, right = np.nonzero(apart & near)
@@ -221,6 +224,10 @@ def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, forest: bool)
                     matches = matches + (su[left, done:n] == sv[right, done:n]).sum(1)
                     alive, done = matches >= least, n
                     left, right, matches = left[alive], right[alive], matches[alive]
+                if once:
+                    first = (ku[left] == kv[right]).argmax(1)
+                    here = ku[left, first] == np.int64(band.as_py()).astype(np.int32)
+                    left, right, matches = left[here], right[here], matches[here]
                 if forest and len(left):
                     kept = spanning(cu[left], cv[right], matches)
                     left, right = left[kept], right[kept]
@@ -246,20 +253,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pairs(outer: DataFrame, inner: DataFrame, percent: int, length: int, forest: bool = False) -> DataFrame:
+def _pairs(
+    outer: DataFrame, inner: DataFrame, percent: int, length: int, once: bool = False, forest: bool = False
+) -> DataFrame:
     """Unpruned pairs of an outer and an inner member of the same bucket that are in different components.
 
-    Both sides: band, id, n, component, main (the bucket's largest component), size (members), signature. Two
-    members outside the main component meet twice; the pair counts where the outer one has the smaller id.
+    Both sides: band, id, n, component, main (the bucket's largest component), size (members), signature, keys (32 bits
+    of each band's key). Two members outside the main component meet twice; the pair counts where the outer one has the
+    smaller id.
     """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block")
-        row = F.struct("id", "n", "component", "signature")
+        row = F.struct("id", "n", "component", "signature", "keys")
         return rows.groupBy("band", "main", block).agg(F.collect_list(row).alias(name)).drop("block")
 
-    pairs = blocks(outer, "outer").join(blocks(inner, "inner"), ["band", "main"]).select("outer", "inner", "main")
-    return _unpruned_blocks(pairs, percent, length, forest)
+    pairs = blocks(outer, "outer").join(blocks(inner, "inner"), ["band", "main"]).select("outer", "inner", "main", "band")
+    return _unpruned_blocks(pairs, percent, length, once, forest)
 
 
 def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
@@ -285,7 +295,7 @@ def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch, turn: str) -
         f"main-{turn}",
     )
     apart = placed.where("id <> head").join(main, "band").select("band", "id", "n", "component", "main", "size", "outside")
-    return apart.hint("merge").join(members.select("band", "id", "signature"), ["band", "id"])
+    return apart.hint("merge").join(members.select("band", "id", "signature", "keys"), ["band", "id"])
 
 
 def near_duplicates(
@@ -314,7 +324,9 @@ def near_duplicates(
         .groupBy("band", "near_id", "n")
         .agg(F.min("id").alias("id"), F.first("head").alias("head"), F.first("size").alias("size"))
     )  # one row for each class in each bucket that several classes share
-    members = scratch.keep(members.hint("merge").join(sketches.select("id", "signature"), "id"), "members")
+    low_bits = F.transform("bands", lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
+    described = sketches.select("id", "signature", low_bits.alias("keys"))
+    members = scratch.keep(members.hint("merge").join(described, "id"), "members")
     needed = members.select("id").distinct()
     sets = scratch.keep(_full_sets(source.join(needed.hint("merge"), "id", "left_semi")).distinct(), "sets")
 
@@ -326,7 +338,7 @@ def near_duplicates(
     for turn in ("second", "third"):
         apart = _apart(members, groups, scratch, turn)
         outer = apart.where("component <> main").withColumn("size", F.col("outside"))
-        pairs = _pairs(outer, apart, percent, VALUES, forest=turn == "second")
+        pairs = _pairs(outer, apart, percent, VALUES, once=True, forest=turn == "second")
         more = scratch.keep(_confirmed(pairs, sets, percent), f"links-{turn}")
         if not more.isEmpty():
             known = groups.select(F.col("id").alias("u"), F.col("component").alias("v"))
