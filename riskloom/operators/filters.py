@@ -87,6 +87,20 @@ def split_columns(df: DataFrame, categorical: Sequence[str] = REPORT_CATEGORICAL
     return [c for c in df.columns if c not in categorical], [c for c in df.columns if c in categorical]
 
 
+def class_facts(df: DataFrame, categorical: Sequence[str] = REPORT_CATEGORICAL) -> DataFrame:
+    """(columna, clase, distintos, minimo, maximo) of numeric columns, in one row of aggregates."""
+    numbers, categories = split_columns(df, categorical)
+    classes = dict.fromkeys(numbers, "numerica") | dict.fromkeys(categories, "categorica")
+    facts = df.agg(
+        *[F.struct(F.countDistinct(c).alias("n"), F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("z")).alias(c) for c in classes]
+    )
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("columna"), F.lit(k).alias("clase"), F.col(f"`{c}`").alias("f")) for c, k in classes.items()]
+    )
+    rows = facts.select(F.explode(cells).alias("r"))
+    return rows.select("r.columna", "r.clase", F.col("r.f.n").alias("distintos"), F.col("r.f.a").alias("minimo"), F.col("r.f.z").alias("maximo"))
+
+
 def nan_as_null(df: DataFrame) -> DataFrame:
     """Float and double columns with NaN as NULL, as both mean a missing number."""
     floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.filters import require_positive
 from riskloom.operators.integrity import client_rules, history_rules, key_violations, target_rules
+from riskloom.operators.keyfilter import KeyFilter, key_filter
 from riskloom.operators.reshape import unpivot_history
 from riskloom.operators.selection import split_first_n, top_rows
 from riskloom.schemas import (
@@ -52,15 +53,21 @@ def preview_batch(staging: DataFrame, n: int = 10) -> DataFrame:
     return top_rows(staging, [F.col("ID").asc_nulls_first()], n)
 
 
-def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates whose key is not in ``existing``; a NULL key never matches."""
-    return candidates.join(existing.select(*keys).distinct(), keys, "left_anti")
+def new_rows(
+    candidates: DataFrame, existing: DataFrame, keys: list[str], known: KeyFilter | None = None
+) -> DataFrame:
+    """Candidates whose key is not in ``existing``; a NULL key never matches.
+
+    ``known`` is a filter of the candidates' first key: with it, only rows of ``existing`` that may match are shuffled.
+    """
+    held = existing if known is None else existing.where(known.passes(keys[0]))
+    return candidates.join(held.select(*keys).distinct(), keys, "left_anti")
 
 
-def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str) -> DataFrame:
-    """Rows whose key is not among ``ids``; rows with a NULL key stay."""
-    gone = ids.select(F.col(ids_key).alias(key)).distinct()
-    return df.join(gone, key, "left_anti")
+def without_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str, known: KeyFilter | None = None) -> DataFrame:
+    """Rows whose key is not among ``ids``; rows with a NULL key stay. ``known`` is a filter of the keys of ``df``."""
+    held = ids if known is None else ids.where(known.passes(ids_key))
+    return df.join(held.select(F.col(ids_key).alias(key)).distinct(), key, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -162,14 +169,15 @@ def migrate_batch(staging: DataFrame, star: CreditStar, n: int) -> BatchResult:
     Clients and targets already loaded are skipped; history is skipped only
     where (client, month, status) is already there. The rows to insert are kept
     in the shared folder, so the comparison with the loaded tables runs once,
-    and are checked before they are returned.
+    and are checked before they are returned. A key filter of the batch goes
+    into the scans of the loaded tables, so the shuffled rows follow the batch.
     """
     plan = plan_batch(staging, n)
-    unseen = materialize(without_ids(plan.batch, "ID", star.dim_cliente, "id_cliente"), "lote")
-    new_targets = materialize(new_rows(targets_from(plan.batch), star.riesgo_crediticio, ["id_cliente"]), "lote")
-    new_history = materialize(
-        new_rows(unpivot_history(plan.batch), star.historial_pagos, ["id_cliente", "id_mes", "id_estatus_pago"]), "lote"
-    )
+    known = key_filter(plan.batch, "ID")
+    unseen = materialize(without_ids(plan.batch, "ID", star.dim_cliente, "id_cliente", known), "lote")
+    new_targets = materialize(new_rows(targets_from(plan.batch), star.riesgo_crediticio, ["id_cliente"], known), "lote")
+    months = ["id_cliente", "id_mes", "id_estatus_pago"]
+    new_history = materialize(new_rows(unpivot_history(plan.batch), star.historial_pagos, months, known), "lote")
     check_new_rows(unseen, new_targets, new_history)
     return BatchResult(plan.batch, plan.staging, plan.report, clients_from(unseen), new_targets, new_history)
 

@@ -14,6 +14,7 @@ from riskloom.schemas import BILL_COLUMNS, MONTH_COLUMNS, PAID_COLUMNS, PAY_COLU
 from riskloom.session import materialize, scratch_path
 from riskloom.sources import csvfiles, documents, tables
 from riskloom.sources.batches import CreditStore, load_star
+from riskloom.streaming import batch_loads
 
 #: rows asked for in the batch queries; below the top-n switch of ``split_first_n``, whose other way ``first_n_by_key`` takes
 BATCH = 4_000
@@ -104,6 +105,52 @@ def batch_store_load(spark, sf_dir):
     )
 
 
+_COUNTS_SQL = """SELECT (SELECT count(*) FROM dim_cliente WHERE {0}) AS total_clientes,
+  (SELECT count(*) FROM dim_cliente WHERE {0}) AS total_riesgo, (SELECT count(*) * 6 FROM dim_cliente WHERE {0}) AS total_historial"""
+
+
+def _star_counts(star):
+    return counts_side_by_side(
+        {"total_clientes": star.dim_cliente, "total_riesgo": star.riesgo_crediticio, "total_historial": star.historial_pagos}
+    )
+
+
+@query(b.STAR_SQL + _COUNTS_SQL.format("id_cliente NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)"))
+def stored_deletes(spark, sf_dir):
+    """Clients deleted from a store between two batches and after them, then compacted: what readers see."""
+    store = CreditStore(spark, scratch_path(spark, "store"))
+    store.load_staging(b.staging(spark, sf_dir))
+    gone = b.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("id_cliente"))
+    store.migrate(BATCH)
+    store.delete_clients(gone)
+    if not store.staging().isEmpty():
+        store.migrate_all()
+    store.delete_clients(gone)  # the second batch brought others of them
+    store.compact()
+    return _star_counts(store.star())
+
+
+@query(b.STAR_SQL + "SELECT * FROM staging WHERE ID NOT IN (SELECT ID FROM staging ORDER BY ID LIMIT 1500)")
+def stored_delete_first(spark, sf_dir):
+    """Staging of a store after two deletes of its first rows."""
+    store = CreditStore(spark, scratch_path(spark, "store"))
+    store.load_staging(b.staging(spark, sf_dir))
+    store.delete_first(1_000)
+    store.delete_first(500)
+    return store.staging()
+
+
+@query(b.STAR_SQL + _COUNTS_SQL.format("true"))
+def stream_batch_load(spark, sf_dir):
+    """Staging rows that arrive in four files, one commit a micro-batch, and the whole stream replayed."""
+    arrivals, store = scratch_path(spark, "arrivals"), CreditStore(spark, scratch_path(spark, "store"))
+    b.staging(spark, sf_dir).repartitionByRange(4, "ID").write.parquet(arrivals)
+    for _ in range(2):  # the replay knows nothing of the first run
+        stream = batch_loads.read_arrivals(spark, arrivals, 1)
+        batch_loads.load_arrivals(stream, store, scratch_path(spark, "checkpoint")).awaitTermination()
+    return _star_counts(store.star())
+
+
 @query(
     """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 4000)"""
 )
@@ -200,23 +247,28 @@ def descriptive_view(spark, sf_dir):
     return tables.read_view(spark, "vw_cliente_detallado")
 
 
-@query("""SELECT * FROM (VALUES ('', 'dim_cliente', 'VIEW'), ('', 'historial_pagos', 'VIEW'), ('', 'riesgo_crediticio', 'VIEW'))
-  t(esquema, tabla, tipo) WHERE EXISTS (SELECT 1 FROM orders)""")
+@query(
+    b.STAR_SQL
+    + """SELECT '' AS esquema, 'dim_cliente' AS tabla, 'VIEW' AS tipo, count(*) AS filas FROM dim_cliente
+  UNION ALL SELECT '', 'historial_pagos', 'VIEW', count(*) FROM historial_pagos
+  UNION ALL SELECT '', 'riesgo_crediticio', 'VIEW', count(*) FROM riesgo_crediticio"""
+)
 def table_listing(spark, sf_dir):
-    """Registered tables of the star, without the catalogs."""
+    """Registered tables of the star, without the catalogs, and the rows of each."""
     tables.register_views(b.star(spark, sf_dir), b.staging(spark, sf_dir))
     listed = tables.list_tables(spark, "VIEW")
-    return listed.where(F.col("tabla").isin("dim_cliente", "historial_pagos", "riesgo_crediticio"))
+    listed = listed.where(F.col("tabla").isin("dim_cliente", "historial_pagos", "riesgo_crediticio"))
+    return tables.with_row_counts(spark, listed)
 
 
-@query("""SELECT * FROM (VALUES ('s_suppkey', 'numerica'), ('s_nationkey', 'categorica'), ('s_acctbal', 'numerica'))
-  t(columna, clase) WHERE EXISTS (SELECT 1 FROM supplier)""")
+@query("""SELECT 's_suppkey' AS columna, 'numerica' AS clase, count(DISTINCT s_suppkey) AS distintos,
+    min(s_suppkey)::DOUBLE AS minimo, max(s_suppkey)::DOUBLE AS maximo FROM supplier
+  UNION ALL SELECT 's_nationkey', 'categorica', count(DISTINCT s_nationkey), min(s_nationkey)::DOUBLE, max(s_nationkey)::DOUBLE FROM supplier
+  UNION ALL SELECT 's_acctbal', 'numerica', count(DISTINCT s_acctbal), min(s_acctbal)::DOUBLE, max(s_acctbal)::DOUBLE FROM supplier""")
 def column_classes(spark, sf_dir):
-    """Numeric columns of a table, apart from those declared categorical."""
+    """Numeric columns of a table apart from those declared categorical, with their distinct values and range."""
     supplier = b.table(spark, sf_dir, "supplier")
-    numbers, categories = filters.split_columns(supplier.select(*filters.numeric_columns(supplier)), ["s_nationkey"])
-    rows = [(c, "numerica") for c in numbers] + [(c, "categorica") for c in categories]
-    return spark.createDataFrame(rows, "columna string, clase string")
+    return filters.class_facts(supplier.select(*filters.numeric_columns(supplier)), ["s_nationkey"])
 
 
 _SNAPSHOTS_SQL = b.STAR_SQL + """, antes AS (SELECT * FROM riesgo_crediticio WHERE id_cliente % 5 <> 0),

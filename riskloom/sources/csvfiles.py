@@ -66,3 +66,12 @@ def write_features(df: DataFrame, path: str, vector: str, names: Sequence[str],
         columns.append(F.col(label))
     df.select(*columns).write.mode("errorifexists").option("header", True).csv(path)
 
+
+
+def write_training_files(
+    train: DataFrame, test: DataFrame, root: str, vector: str, names: Sequence[str], label: str, key: str
+) -> None:
+    """Scaled features and labels of the training and hold-out rows as four CSV folders, each with the rows' key."""
+    for part, rows in (("train", train), ("test", test)):
+        write_features(rows, f"{root}/X_{part}_scaled", vector, names, key)
+        rows.select(key, label).write.mode("errorifexists").option("header", True).csv(f"{root}/y_{part}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,3 +139,14 @@ def inventory_totals(inventory: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("bytes"), F.lit(0)) / F.lit(1024.0 * 1024.0)).alias("total_mb"),
         F.coalesce(F.floor(F.try_divide(F.sum("filas"), F.count("*"))), F.lit(0)).alias("promedio_filas"),
     )
+
+
+def with_row_counts(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """A listing of tables (schema, name, type) with the rows of each."""
+    out = []
+    for row in listed.collect():  # one for each table
+        name = f"`{row['esquema']}`.`{row['tabla']}`" if row["esquema"] else f"`{row['tabla']}`"
+        counted = spark.table(name).agg(F.count("*").alias("filas"))
+        out.append(counted.select(*[F.lit(row[c]).alias(c) for c in ("esquema", "tabla", "tipo")], "filas"))
+    empty = spark.createDataFrame([], "esquema string, tabla string, tipo string, filas long")
+    return reduce(DataFrame.unionByName, out, empty)

@@ -1,12 +1,14 @@
 import pytest
 from helpers import client, empty_star, staging, staging_row, star, values
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from riskloom.operators import integrity, migration
+from riskloom.operators import integrity, keyfilter, migration
 from riskloom.operators.reshape import unpivot_history
 from riskloom.schemas import CreditStar
 from riskloom.session import scratch_path
 from riskloom.sources.batches import CreditStore, load_star
+from riskloom.streaming import batch_loads
 
 
 def report(result):
@@ -171,3 +173,134 @@ def test_orphans_and_keys(spark):
 def test_history_is_six_per_client(spark):
     wide = staging(spark, *[staging_row(i) for i in range(10)])
     assert unpivot_history(wide).groupBy("id_cliente").count().where(F.col("count") != 6).count() == 0
+
+
+def test_key_filter_passes_every_key_and_few_others(spark):
+    keys = spark.createDataFrame([(3 * i,) for i in range(500)] + [(None,)], "k long").repartition(3)
+    found = keyfilter.key_filter(keys, "k")
+    rows = spark.range(-2_000, 4_000).select(F.col("id").alias("k"))
+    passed = {r["k"] for r in rows.where(found.passes("k")).collect()}
+    assert passed >= {3 * i for i in range(500)} and min(passed) >= 0 and max(passed) <= 1_497
+    assert len(passed) < 500 + 40
+    assert keys.where(found.passes("k")).count() == 500
+    parts = [keyfilter.key_filter(keys.where(c), "k", found.bits) for c in ("k < 600", "k >= 600", "k > 9000")]
+    merged = parts[0].merged(parts[1]).merged(parts[2])
+    assert {r["k"] for r in rows.where(merged.passes("k")).collect()} == passed
+    assert rows.where(parts[2].passes("k")).count() == 0
+    with pytest.raises(ValueError, match="different sizes"):
+        parts[0].merged(keyfilter.key_filter(keys, "k", 64))
+
+
+def test_a_batch_shuffles_only_loaded_rows_of_its_ids(spark):
+    """The filter stands below the exchange of the loaded table, and its range goes into the scan."""
+    path = scratch_path(spark, "loaded")
+    spark.range(100_000).select(F.col("id").alias("id_cliente"), F.lit(1).alias("id_mes")).write.parquet(path)
+    batch = spark.createDataFrame([(i,) for i in range(50_000, 50_020)], "id_cliente long")
+    known = keyfilter.key_filter(batch, "id_cliente")
+    loaded = spark.read.parquet(path)
+    assert loaded.where(known.passes("id_cliente")).count() < 25
+    unseen = migration.new_rows(batch, loaded.where("id_cliente <> 50007"), ["id_cliente"], known)
+    assert values(unseen, "id_cliente") == [(50_007,)]
+    plan = spark._jvm.PythonSQLUtils.explainString(unseen._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(id_cliente,50000)" in plan and "LessThanOrEqual(id_cliente,50019)" in plan
+
+
+def _ids(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id_cliente long")
+
+
+def test_stored_deletes_and_compaction(spark, monkeypatch):
+    store = CreditStore(spark, scratch_path(spark, "store"))
+    store.load_staging(staging(spark, *[staging_row(i) for i in range(1, 9)]))
+    store.migrate(3)
+    assert values(store.delete_clients(_ids(spark, 2, 99, 2)), "id_cliente_eliminado") == [(2,), (99,)]
+
+    def seen():
+        now = store.star()
+        assert values(now.historial_pagos.select("id_cliente").distinct(), "id_cliente") == values(now.dim_cliente, "id_cliente")
+        assert values(now.riesgo_crediticio, "id_cliente") == values(now.dim_cliente, "id_cliente")
+        return [i for (i,) in values(now.dim_cliente, "id_cliente")]
+
+    assert seen() == [1, 3]
+    # a delete that dies before its log row is not seen, also after its number went to a batch
+    monkeypatch.setattr(CreditStore, "_commit", lambda self, *rest, **named: None)
+    store.delete_clients(_ids(spark, 1))
+    store.compact()
+    monkeypatch.undo()
+    assert seen() == [1, 3]
+    store.migrate(2)
+    assert seen() == [1, 3, 4, 5]
+    # nor does a dead batch appear under the number of a delete
+    monkeypatch.setattr(CreditStore, "_commit", lambda self, *rest, **named: spark.createDataFrame([(1, 1, 1)], "a int, b int, c int"))
+    store.migrate(1)
+    monkeypatch.undo()
+    store.delete_clients(_ids(spark, 5))
+    assert seen() == [1, 3, 4]
+    before = [values(t, *t.columns) for t in (store.star().dim_cliente, store.star().historial_pagos)]
+    store.compact()
+    assert [values(t, *t.columns) for t in (store.star().dim_cliente, store.star().historial_pagos)] == before
+    store.vacuum()
+    assert [values(t, *t.columns) for t in (store.star().dim_cliente, store.star().historial_pagos)] == before
+    store.migrate_all()
+    assert seen() == [1, 3, 4, 6, 7, 8] and store.staging().count() == 0
+    store.delete_clients(_ids(spark, 1, 8))
+    assert seen() == [3, 4, 6, 7]
+
+
+def test_a_deleted_client_can_be_loaded_again(spark):
+    store = CreditStore(spark, scratch_path(spark, "store"))
+    store.load_staging(staging(spark, staging_row(1), staging_row(2), staging_row(3)))
+    store.delete_clients(_ids(spark, 2))  # nothing to delete yet: later rows stay
+    store.migrate_all()
+    assert values(store.star().dim_cliente, "id_cliente") == [(1,), (2,), (3,)]
+
+
+def test_stored_delete_of_first_rows(spark):
+    rows = [staging_row(i, AGE=20 + n) for n, i in enumerate((1, 2, 2, 2, 3, 4))]
+    store, plain = CreditStore(spark, scratch_path(spark, "store")), staging(spark, *rows)
+    store.load_staging(plain)
+    for n in (3, 1, 1):
+        want, told = migration.delete_first_n(plain, n)
+        assert tuple(store.delete_first(n).first()) == tuple(told.first())
+        assert values(store.staging(), "ID", "AGE") == values(want, "ID", "AGE")
+        plain = want
+    assert tuple(store.migrate(5).first()) == (5, 1, 0)
+
+
+def test_a_numbered_load_is_published_once(spark):
+    store = CreditStore(spark, scratch_path(spark, "store"))
+    parts = [staging(spark, *[staging_row(i) for i in ids]) for ids in ((1, 2), (2, 3))]
+    told = [store.load_numbered("a", k, parts[k]) for k in (0, 0, 1, 0, 1)] + [store.load_numbered("b", 0, parts[0].limit(0))]
+    assert told == [True, False, True, False, False, False]
+    assert values(store.star().dim_cliente, "id_cliente") == [(1,), (2,), (3,)]
+    assert store.star().historial_pagos.count() == 18
+
+
+def test_a_replayed_stream_loads_nothing_twice(spark, monkeypatch):
+    arrivals, root = scratch_path(spark, "arrivals"), scratch_path(spark, "store")
+    for ids in ((1, 2), (3,), (4, 5)):
+        staging(spark, *[staging_row(i) for i in ids]).coalesce(1).write.mode("append").parquet(arrivals)
+    store = CreditStore(spark, root)
+
+    def run(checkpoint):
+        batch_loads.load_arrivals(batch_loads.read_arrivals(spark, arrivals, 1), store, checkpoint).awaitTermination()
+
+    # the job dies in its second micro-batch, after the commit
+    publish, checkpoint = CreditStore.load_numbered, scratch_path(spark, "checkpoint")
+
+    def dies(self, stream, number, rows):
+        done = publish(self, stream, number, rows)
+        if number == 1:
+            raise RuntimeError("lost")
+        return done
+
+    monkeypatch.setattr(CreditStore, "load_numbered", dies)
+    with pytest.raises(StreamingQueryException):
+        run(checkpoint)
+    monkeypatch.undo()
+    assert store.log().count() == 2
+    for again in (checkpoint, scratch_path(spark, "checkpoint")):  # resumed, then replayed from the start
+        run(again)
+        assert store.log().count() == 3
+        assert values(store.star().dim_cliente, "id_cliente") == [(i,) for i in range(1, 6)]
+        assert store.star().historial_pagos.count() == 30
