@@ -29,7 +29,7 @@ BOILERPLATE_WORDS = frozenset(
     "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
-#: Deeper elements become children of the element at this depth.
+#: Deeper elements become children of the element at this depth; below it only the outermost boilerplate element opens.
 DEEPEST = 150
 
 _TOKEN = re.compile(
@@ -46,18 +46,20 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element (``text`` is None) or a piece of text."""
 
-    __slots__ = ("tag", "kind", "kids", "text", "digest", "shape", "size")
+    __slots__ = ("tag", "kind", "kids", "text", "digest", "shape", "size", "closed")
 
     def __init__(self, tag: str, kind: str = "", text: str | None = None) -> None:
         self.tag, self.kind, self.text = tag, kind, text
         self.kids: list[Node] = []
         self.digest: str = ""
+        self.closed: bool | None = None  # whether the page closes it, once asked
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Comments and declarations are left out; character references stay as they are."""
     root = Node("#page")
     stack = [root]
+    flat: dict[str, int] = {}  # open elements that are too deep to stand on the stack
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.match(page, at)
@@ -73,13 +75,16 @@ def parse(page: str) -> Node:
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
             open_tags = [n.tag for n in stack]
-            if tag in open_tags[1:]:
+            if flat.get(tag):
+                flat[tag] -= 1
+            elif tag in open_tags[1:]:
                 last = len(open_tags) - 1 - open_tags[::-1].index(tag)
                 del stack[last:]
+                flat.clear()
             elif tag == "p" or tag == "br":
                 stack[-1].kids.append(Node("br"))
             continue
-        _close_before(stack, tag)
+        _close_before(stack, tag, page, at)
         kind = " ".join(next(filter(None, m), "") for m in _KIND.findall(token)).lower() if "=" in token else ""
         node = Node(tag, kind)
         stack[-1].kids.append(node)
@@ -88,18 +93,37 @@ def parse(page: str) -> Node:
             if tag == "title":
                 node.kids.append(Node("#text", text=page[at : end.start()]))
             at = end.end()
-        elif tag not in VOID and not token.endswith("/>") and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID and not token.endswith("/>"):
+            if len(stack) < DEEPEST or (len(stack) == DEEPEST and is_boilerplate(node)):
+                stack.append(node)
+            else:
+                flat[tag] = flat.get(tag, 0) + 1
     return root
 
 
-def _close_before(stack: list[Node], tag: str) -> None:
-    """Close what a start tag ends implicitly."""
-    if tag in ("article", "main"):  # an unclosed menu or notice does not hold the article
+def _ends(page: str, at: int, tag: str) -> int:
+    """How many elements of this name, open at ``at``, the rest of the page closes."""
+    depth, least = 0, 0
+    for found in re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE).finditer(page, at):
+        depth += -1 if found[1] else 1
+        least = min(least, depth)
+    return -least
+
+
+def _close_before(stack: list[Node], tag: str, page: str, at: int) -> None:
+    """Close what a start tag ends implicitly.
+
+    An article that starts inside a menu or notice lies in it if the page closes all open elements of its name later,
+    as for readers' comments and teasers. A menu that is never closed does not hold the article.
+    """
+    if tag in ("article", "main"):
         for i, node in enumerate(stack[1:], 1):
             if is_boilerplate(node):
-                del stack[i:]
-                return
+                if node.closed is None:
+                    node.closed = _ends(page, at, node.tag) >= sum(n.tag == node.tag for n in stack)
+                if not node.closed:
+                    del stack[i:]
+                    return
     closes = CLOSES.get(tag) or ({"p"} if tag in BLOCK and tag != "br" else ())
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in closes:

@@ -134,6 +134,33 @@ def test_bounded_sample(spark):
 PAGES = "page_id long, url string, html string, host string, text string, skeleton int"
 
 
+def plain(page):
+    """The text that elements alone leave, without a wrapper."""
+    root = dom.parse(page)
+    dom.finish(root, {})
+    return " ".join(dom.blocks(dom.main_parts(root), set()))
+
+
+def test_articles_inside_comments_and_teasers_are_no_main_text():
+    main = "<article>Main <p>text</p>{}</article>"
+    comments = '<section class="comments"><article>Reader says hi</article><article>Another</article></section>'
+    assert plain(main.format("") + comments) == "Main text"
+    assert plain("<aside><article>Teaser</article></aside>" + main.format("")) == "Main text"
+    assert plain(main.format('<div class="related"><div><article>More</article></div></div>')) == "Main text"
+    # a menu or notice that is never closed does not hold the article
+    assert plain("<nav><ul><li>Home" + main.format("")) == "Main text"
+    assert plain('<div><div class="notice">Cookies<article>Main text</article></div>') == "Main text"
+
+
+@pytest.mark.parametrize("deep", [10, 140, 160, 400])
+def test_deep_elements_keep_their_place(deep):
+    nested = "<div>" * deep + "deep" + "</div>" * deep
+    assert plain(f"<div><article>Head {nested} Tail</article></div>Foot") == "Head deep Tail"
+    hidden = "<span>" * deep + "<aside>advert <b>more</b></aside><form><form>field</form></form> text" + "</span>" * deep
+    assert plain(f"<article>Head {hidden} Tail</article>") == "Head text Tail"
+    assert plain(f"<article>{'<div>' * deep}open</article>") == "open"
+
+
 def extracted(spark, pages):
     frame = spark.createDataFrame([(*p, "h", "t", 1) for p in pages], PAGES)
     return {r["page_id"]: r["text"] for r in extraction.extract(frame.repartition(3) if pages else frame).collect()}
