@@ -327,6 +327,8 @@ def near_duplicates(
     low_bits = F.transform("bands", lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
     described = sketches.select("id", "signature", low_bits.alias("keys"))
     members = scratch.keep(members.hint("merge").join(described, "id"), "members")
+    rows_seen = scratch.keep(sketches.select("id", "n", "class_id"), "rows")
+    scratch.drop("sketches")  # signatures and keys stand with the members from here on
     needed = members.select("id").distinct()
     sets = scratch.keep(_full_sets(source.join(needed.hint("merge"), "id", "left_semi")).distinct(), "sets")
 
@@ -344,11 +346,10 @@ def near_duplicates(
             known = groups.select(F.col("id").alias("u"), F.col("component").alias("v"))
             groups = scratch.keep(components(known.union(more), scratch, turn), f"groups-{turn}")
 
-    classes = sketches.where("n > 0").groupBy("class_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = rows_seen.where("n > 0").groupBy("class_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.keep(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
     found = (
-        sketches.select("id", "n", "class_id")
-        .join(classes, "class_id", "left")
+        rows_seen.join(classes, "class_id", "left")
         .select("id", "n", F.coalesce("first_id", "id").alias("first_id"))
         .join(groups.select(F.col("id").alias("first_id"), "component"), "first_id", "left")
         .select("id", "n", F.coalesce("component", "first_id").alias("component_id"))
