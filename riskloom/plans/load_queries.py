@@ -520,3 +520,38 @@ def documents_per_collection(spark, sf_dir):
     return documents.count_by_collection(
         {"eventos": b.table(spark, sf_dir, "events"), "etiquetas": b.table(spark, sf_dir, "labels")}
     )
+
+
+def _open_orders(spark, sf_dir):
+    """Orders as documents with fields that only some of them have, appended to a collection and read back."""
+    odd = F.when(F.col("o_orderkey") % 3 == 0, F.struct((F.col("o_orderkey") % 7).alias("semilla"), F.col("o_orderstatus").alias("estado")))
+    amount = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))
+    text = F.to_json(F.struct(F.col("o_orderkey").alias("id"), odd.alias("nuevo"), amount.alias("registros")))
+    path = scratch_path(spark, "documents")
+    documents.append_open_documents(documents.open_documents(b.table(spark, sf_dir, "orders").select(text.alias("texto")), "texto"), path)
+    return documents.read_open_documents(spark, path)
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE -1 END AS semilla,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'N/A' END AS estado,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END AS registros FROM orders"""
+)
+def open_document_lookup(spark, sf_dir):
+    """Nested look-ups with defaults and second choices in documents whose fields differ."""
+    return _open_orders(spark, sf_dir).select(
+        documents.lookup("documento", "$.id", kind="bigint").alias("id"),
+        documents.lookup("documento", "$.nuevo.semilla", kind="bigint", default=-1).alias("semilla"),
+        documents.lookup("documento", "$.nuevo.estado", default=documents.ABSENT).alias("estado"),
+        documents.lookup("documento", "$.registros", "$.id", kind="bigint").alias("registros"),
+    )
+
+
+@query(
+    """SELECT 'id' AS campo, count(*) AS documentos FROM orders
+  UNION ALL SELECT 'nuevo', count(*) FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT 'registros', count(*) FROM orders WHERE o_orderkey % 2 = 0"""
+)
+def open_document_fields(spark, sf_dir):
+    """All fields that documents of a collection have, and in how many."""
+    return documents.document_fields(_open_orders(spark, sf_dir)).select("campo", "documentos")

@@ -102,3 +102,37 @@ def count_by_collection(collections: Mapping[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+# --- documents whose fields differ: one VARIANT column keeps every field with its own type --------------------------
+
+
+def open_documents(texts: DataFrame, column: str, output: str = "documento") -> DataFrame:
+    """Documents held as JSON text as a VARIANT column in its place; text that is no JSON becomes NULL."""
+    others = [c for c in texts.columns if c != column]
+    return texts.select(*others, F.try_parse_json(column).alias(output))
+
+
+def append_open_documents(documents: DataFrame, path: str) -> None:
+    """Append documents with a VARIANT column; no schema is agreed on, so new fields need no change of the table."""
+    documents.write.mode("append").parquet(path)
+
+
+def read_open_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def lookup(document: str, *paths: str, kind: str = "string", default: Any = None) -> Column:
+    """The value at the first of the paths (``$.group.name``) that holds one of that kind, else the default."""
+    found = [F.try_variant_get(document, path, kind) for path in paths]
+    return F.coalesce(*found, F.lit(default).cast(kind))
+
+
+def document_fields(documents: DataFrame, column: str = "documento") -> DataFrame:
+    """(campo, documentos, tipo): every top-level field of the collection, in how many documents, and its merged type."""
+    fields = documents.where(F.col(column).isNotNull()).lateralJoin(
+        documents.sparkSession.tvf.variant_explode(F.col(column).outer())
+    )
+    return fields.groupBy(F.col("key").alias("campo")).agg(
+        F.count("*").alias("documentos"), F.schema_of_variant_agg("value").alias("tipo")
+    )

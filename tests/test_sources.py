@@ -161,3 +161,22 @@ def test_scalars(spark):
 
 def test_shared_root_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_documents_keep_fields_that_no_schema_names(spark):
+    path = scratch_path(spark, "open")
+    first = ['{"fecha": "2024", "nuevo": {"a": [1, 2.5]}, "semilla": 7}', "no json", "null", "{}"]
+    second = ['{"semilla": "siete", "metricas": {"inertia": 3}}', None]
+    for lines in (first, second):
+        texts = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "n int, t string")
+        documents.append_open_documents(documents.open_documents(texts, "t"), path)
+    back = documents.read_open_documents(spark, path)
+    assert back.count() == 6
+    got = back.select(
+        documents.lookup("documento", "$.nuevo.a[1]", kind="double", default=0.0).alias("a"),
+        documents.lookup("documento", "$.semilla", default="N/A").alias("s"),
+        documents.lookup("documento", "$.metricas.silhouette_score", "$.metricas.inertia", kind="int", default=-1).alias("m"),
+    )
+    assert values(got, "a", "s", "m") == sorted([(2.5, "7", -1), (0.0, "siete", 3)] + [(0.0, "N/A", -1)] * 4)
+    fields = {r["campo"]: (r["documentos"], r["tipo"]) for r in documents.document_fields(back).collect() if r["campo"]}
+    assert fields["semilla"] == (2, "VARIANT") and fields["fecha"][0] == 1 and set(fields) == {"fecha", "nuevo", "semilla", "metricas"}
