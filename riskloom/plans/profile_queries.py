@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.ml import clustering, features, metrics
-from riskloom.operators import profile, reshape
+from riskloom.operators import profile, reshape, sketches
 from riskloom.operators import star as star_ops
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
 from riskloom.schemas import BILL_COLUMNS, PAID_COLUMNS, PAY_COLUMNS
+from riskloom.session import scratch_path
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -374,3 +375,28 @@ def cluster_as_classifier(spark, sf_dir):
     predicted = clustering.predict_by_majority(_clustered(spark, sf_dir), "cluster", "target")
     report = metrics.classification_report(predicted, "target", "prediccion")
     return _rounded(report, dict.fromkeys(["precision", "recall", "f1"], 8))
+
+
+_SKETCHED = ["l_quantity", "l_extendedprice", "l_discount"]
+_QUARTERS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS columna, count({c}) AS filas, CAST(0 AS BIGINT) AS fuera_de_margen FROM lineitem" for c in _SKETCHED))
+def stored_quantiles(spark, sf_dir):
+    """Quantiles from sketches kept for four batches: answers whose exact rank is off by more than the stated error."""
+    lines, path = b.table(spark, sf_dir, "lineitem"), scratch_path(spark, "sketches")
+    for batch in range(4):
+        part = lines.where(F.col("l_orderkey") % 4 == batch)
+        sketches.append_sketches(sketches.column_sketches(part, _SKETCHED), path, batch)
+    merged = sketches.merged(sketches.read_sketches(spark, path))
+    found = sketches.quantiles(merged, _QUARTERS).collect()  # a row for each column and probability
+    total, error = {r["columna"]: r["filas"] for r in found}, sketches.rank_error()
+    ranks = lines.agg(
+        *[F.count_if(F.col(r["columna"]) < F.lit(r["valor"])).alias(f"b{i}") for i, r in enumerate(found)],
+        *[F.count_if(F.col(r["columna"]) <= F.lit(r["valor"])).alias(f"u{i}") for i, r in enumerate(found)],
+    ).first()
+    beyond = dict.fromkeys(_SKETCHED, 0)
+    for i, r in enumerate(found):
+        low, high = ranks[f"b{i}"] / total[r["columna"]], ranks[f"u{i}"] / total[r["columna"]]
+        beyond[r["columna"]] += not low - error <= r["p"] <= high + error
+    return spark.createDataFrame([(c, total[c], beyond[c]) for c in _SKETCHED], "columna string, filas long, fuera_de_margen long")

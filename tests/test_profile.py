@@ -1,10 +1,12 @@
+import bisect
 import math
 
 import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
-from riskloom.operators import profile
+from riskloom.operators import profile, sketches
+from riskloom.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +97,28 @@ def test_nan_is_missing(spark):
     assert {r["columna"]: r["faltantes"] for r in profile.missing_by_column(df).collect()} == {"x": 2, "y": 0}
     assert {r["columna"]: r["no_nulos"] for r in profile.frame_info(df).collect()} == {"x": 2, "y": 4}
     assert profile.correlation_pairs(df, ["x", "y"]).first()["r"] == pytest.approx(1.0)
+
+
+def test_merged_sketches_answer_like_one_of_all_rows(spark):
+    """Ranks of merged sketches, of one sketch and of the exact order agree within the stated error."""
+    rows = spark.range(30_000).select(
+        F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 7).alias("x"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("y"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    path, columns, steps = scratch_path(spark, "sketches"), ["x", "y", "none"], [0.0, 0.1, 0.5, 0.9, 1.0]
+    for batch in (0, 1, 2, 1):
+        sketches.append_sketches(sketches.column_sketches(rows.where(F.col("id") % 3 == batch), columns, 1_000), path, batch)
+    merged = sketches.quantiles(sketches.merged(sketches.read_sketches(spark, path)), steps).collect()
+    whole = sketches.quantiles(sketches.column_sketches(rows, columns, 1_000), steps).collect()
+    held = {c: sorted(r[c] for r in rows.select(c).collect() if r[c] is not None) for c in columns}
+    error = sketches.rank_error(1_000)
+    for found in (merged, whole):
+        assert len(found) == 15
+        for r in found:
+            values_ = held[r["columna"]]
+            assert r["filas"] == len(values_)
+            if not values_:
+                assert r["valor"] is None
+                continue
+            low, high = (f(values_, r["valor"]) / len(values_) for f in (bisect.bisect_left, bisect.bisect_right))
+            assert low - error <= r["p"] <= high + error
