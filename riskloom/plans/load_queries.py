@@ -537,7 +537,7 @@ def _open_orders(spark, sf_dir):
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'N/A' END AS estado,
   CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END AS registros FROM orders"""
 )
-def open_document_lookup(spark, sf_dir):
+def variant_lookup(spark, sf_dir):
     """Nested look-ups with defaults and second choices in documents whose fields differ."""
     return _open_orders(spark, sf_dir).select(
         documents.lookup("documento", "$.id", kind="bigint").alias("id"),
@@ -552,6 +552,6 @@ def open_document_lookup(spark, sf_dir):
   UNION ALL SELECT 'nuevo', count(*) FROM orders WHERE o_orderkey % 3 = 0
   UNION ALL SELECT 'registros', count(*) FROM orders WHERE o_orderkey % 2 = 0"""
 )
-def open_document_fields(spark, sf_dir):
+def variant_fields(spark, sf_dir):
     """All fields that documents of a collection have, and in how many."""
     return documents.document_fields(_open_orders(spark, sf_dir)).select("campo", "documentos")
