@@ -22,7 +22,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays.
+
+    Rows that repeat an id with the same text are one document: all of them stay, or all go. Where a group of equal
+    texts has no id at all, its rows stay.
+    """
     kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), "text_sha256").distinct()
     digest = F.sha2(exact_dedup.normalised(docs["text"]), 256)
     same = docs["doc_id"].eqNullSafe(kept["id"]) & (digest == kept["text_sha256"])

@@ -16,7 +16,7 @@ VOCABULARY = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def test_queries_are_registered():
     names = contract.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == [*range(1, 14)]
     assert "pipeline" in names
 
 
@@ -63,3 +63,11 @@ def test_nothing_in_nothing_out(spark, make_docs, tmp_path):
         stage(spark, docs, None).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_rows_that_repeat_with_their_id_stay_or_go_together(spark, make_docs):
+    rows = [(1, "same text"), (1, "same  text"), (2, "same text"), (2, "same text"), (3, "other"), (3, "other"), (None, "no id"), (None, "no id")]
+    kept = corpus_pipeline.drop_copies(spark, make_docs(rows), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [
+        (0, "no id"), (0, "no id"), (1, "same  text"), (1, "same text"), (3, "other"), (3, "other"),
+    ]
