@@ -5,10 +5,8 @@ put classes into buckets. Candidates of a bucket are compared signature batch by
 a pair is dropped once the posterior probability that its similarity reaches the threshold is below the miss
 probability. Survivors are confirmed on their full shingle sets. A bucket is never turned into rows of pairs: all
 classes are first compared with the bucket's head, and only classes that are then still in different components are
-compared with each other, block by block. Of the unpruned pairs of two blocks, the first pass lets out a spanning
-forest of their components, the pairs of most matches first, so the rows follow the members; once these links are
-confirmed, a second pass lets out every unpruned pair between components that are still apart. A pair is then let
-out in one bucket only, however many it shares.
+compared with each other, block by block, where only unpruned pairs become rows. A pair comes out of one bucket only,
+however many it shares.
 """
 
 from __future__ import annotations
@@ -180,30 +178,11 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def spanning(left: np.ndarray, right: np.ndarray, strength: np.ndarray) -> np.ndarray:
-    """Places of the pairs of a maximum spanning forest; ``left`` and ``right`` name the nodes that they join."""
-    nodes, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = ends[: len(left)].tolist(), ends[len(left) :].tolist()
-    above, kept, wanted = list(range(len(nodes))), [], len(nodes) - 1
-    for place in np.argsort(-strength, kind="stable").tolist():
-        x, y = a[place], b[place]
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        while above[y] != y:
-            above[y] = y = above[above[y]]
-        if x != y:
-            above[x] = y
-            kept.append(place)
-            if len(kept) == wanted:
-                break
-    return np.array(sorted(kept), np.int64)
-
-
-def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, once: bool, forest: bool) -> DataFrame:
+def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, once: bool) -> DataFrame:
     """Pairs (u, v, nu, nv), u < v, between two blocks (outer, inner) that no batch of their signatures prunes.
 
     With ``once`` a pair that shares several buckets counts in the first of them alone (by the place of the bucket
-    among a member's keys). With ``forest`` only as many pairs count as join the same components.
+    among a member's keys).
     """
     steps = least_matches(percent, length)
 
@@ -227,10 +206,7 @@ def _unpruned_blocks(blocks: DataFrame, percent: int, length: int, once: bool, f
                 if once:
                     first = (ku[left] == kv[right]).argmax(1)
                     here = ku[left, first] == np.int64(band.as_py()).astype(np.int32)
-                    left, right, matches = left[here], right[here], matches[here]
-                if forest and len(left):
-                    kept = spanning(cu[left], cv[right], matches)
-                    left, right = left[kept], right[kept]
+                    left, right = left[here], right[here]
                 swap = u[left] > v[right]
                 ids, sizes = (u[left], v[right]), (nu[left], nv[right])
                 found = [np.where(swap, x[1 - i], x[i]) for x in (ids, sizes) for i in (0, 1)]
@@ -253,9 +229,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pairs(
-    outer: DataFrame, inner: DataFrame, percent: int, length: int, once: bool = False, forest: bool = False
-) -> DataFrame:
+def _pairs(outer: DataFrame, inner: DataFrame, percent: int, length: int, once: bool = False) -> DataFrame:
     """Unpruned pairs of an outer and an inner member of the same bucket that are in different components.
 
     Both sides: band, id, n, component, main (the bucket's largest component), size (members), signature, keys (32 bits
@@ -269,10 +243,10 @@ def _pairs(
         return rows.groupBy("band", "main", block).agg(F.collect_list(row).alias(name)).drop("block")
 
     pairs = blocks(outer, "outer").join(blocks(inner, "inner"), ["band", "main"]).select("outer", "inner", "main", "band")
-    return _unpruned_blocks(pairs, percent, length, once, forest)
+    return _unpruned_blocks(pairs, percent, length, once)
 
 
-def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
+def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Members, but for the heads, of buckets that hold several components: with component, main, size, outside.
 
     main is the bucket's largest component, outside the number of members in others.
@@ -281,7 +255,7 @@ def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch, turn: str) -
         members.select("band", "id", "n", "head")
         .join(groups, "id", "left")
         .select("band", "id", "n", "head", F.coalesce("component", "id").alias("component")),
-        f"placed-{turn}",
+        "placed",
     )
     counted = placed.groupBy("band", "component").count()
     main = scratch.keep(
@@ -292,7 +266,7 @@ def _apart(members: DataFrame, groups: DataFrame, scratch: Scratch, turn: str) -
             (F.sum("count") - F.max("count")).alias("outside"),
         )
         .where("outside > 0"),
-        f"main-{turn}",
+        "main",
     )
     apart = placed.where("id <> head").join(main, "band").select("band", "id", "n", "component", "main", "size", "outside")
     return apart.hint("merge").join(members.select("band", "id", "signature", "keys"), ["band", "id"])
@@ -337,14 +311,12 @@ def near_duplicates(
     links = scratch.keep(_confirmed(first, sets, percent), "links-first")
     groups = scratch.keep(components(links, scratch, "first"), "groups-first")
 
-    for turn in ("second", "third"):
-        apart = _apart(members, groups, scratch, turn)
-        outer = apart.where("component <> main").withColumn("size", F.col("outside"))
-        pairs = _pairs(outer, apart, percent, VALUES, once=True, forest=turn == "second")
-        more = scratch.keep(_confirmed(pairs, sets, percent), f"links-{turn}")
-        if not more.isEmpty():
-            known = groups.select(F.col("id").alias("u"), F.col("component").alias("v"))
-            groups = scratch.keep(components(known.union(more), scratch, turn), f"groups-{turn}")
+    apart = _apart(members, groups, scratch)
+    outer = apart.where("component <> main").withColumn("size", F.col("outside"))
+    more = scratch.keep(_confirmed(_pairs(outer, apart, percent, VALUES, once=True), sets, percent), "links-second")
+    if not more.isEmpty():
+        known = groups.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        groups = scratch.keep(components(known.union(more), scratch, "second"), "groups-second")
 
     classes = rows_seen.where("n > 0").groupBy("class_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.keep(classes.where("copies > 1"), "classes")  # apart, so that a hot class can be split in the join
@@ -354,9 +326,7 @@ def near_duplicates(
         .join(groups.select(F.col("id").alias("first_id"), "component"), "first_id", "left")
         .select("id", "n", F.coalesce("component", "first_id").alias("component_id"))
     )
-    scratch.drop("shared", "members", "sets", "links-first")
-    for turn in ("second", "third"):
-        scratch.drop(f"placed-{turn}", f"main-{turn}", f"links-{turn}")
+    scratch.drop("shared", "members", "sets", "links-first", "placed", "main", "links-second")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -196,20 +196,3 @@ def test_a_large_family_around_the_threshold(make_docs, rows_of):
     """2,000 copies, many pairs of which lie just above or below the threshold."""
     rows = [(7 * i % 2_003, t) for i, t in enumerate(family(11, 2_000, words=50))]
     assert rows_of(minhash.near_duplicates(make_docs(rows), percent=80)) == near_by_force(rows, 80)
-
-
-def test_spanning_forest_joins_what_the_pairs_join():
-    draw = np.random.default_rng(8)
-    left, right = draw.integers(0, 40, 150) * 1_000, draw.integers(0, 40, 150) * 1_000 + draw.integers(0, 2, 150)
-    strength = draw.integers(0, 9, 150)
-    kept = minhash.spanning(left, right, strength)
-
-    def groups(places):
-        above = {x: x for x in [*left, *right]}
-        for i in places:
-            a, b = above[left[i]], above[right[i]]
-            above = {x: a if y == b else y for x, y in above.items()}
-        return {frozenset(x for x in above if above[x] == y) for y in above.values()}
-
-    assert groups(kept) == groups(range(150))
-    assert len(kept) == len({*left, *right}) - len(groups(kept))
