@@ -450,6 +450,24 @@ def adhoc_sql(spark, sf_dir):
     )
 
 
+@query(
+    b.STAR_SQL
+    + """, lote AS (SELECT ID, LIMIT_BAL FROM staging ORDER BY ID LIMIT 200)
+SELECT ID, LIMIT_BAL, mes_referencia, descripcion_estatus AS estado_de_pago, monto_estado_cuenta, monto_pago_anterior
+FROM lote JOIN historial_pagos h ON h.id_cliente = ID JOIN dim_tiempo_mes USING (id_mes)
+  JOIN dim_estatus_pago ON id_estatus = id_estatus_pago"""
+)
+def adhoc_procedures(spark, sf_dir):
+    """A statement that calls two procedures: the next batch, and the history of each of its clients."""
+    tables.register_views(b.star(spark, sf_dir), b.staging(spark, sf_dir))
+    tables.register_procedures(spark)
+    return tables.run_query(
+        spark,
+        """SELECT l.ID, l.LIMIT_BAL, h.mes_referencia, h.estado_de_pago, h.monto_estado_cuenta, h.monto_pago_anterior
+           FROM lote_siguiente(200) l, LATERAL historial_cliente(l.ID) h""",
+    )
+
+
 @query("SELECT least(50, count(*)) AS filas FROM customer")
 def table_preview(spark, sf_dir):
     """Any fifty rows; which ones is open, so their number is compared."""

@@ -12,6 +12,7 @@ from riskloom.operators import star as star_ops
 from riskloom.plans import binding as b
 from riskloom.plans.registry import query
 from riskloom.schemas import BILL_COLUMNS, MONTH_COLUMNS, PAID_COLUMNS, PAY_COLUMNS, STAGING_SCHEMA
+from riskloom.sources.bucketed import store_star
 
 _WIDE = ", ".join(PAY_COLUMNS + BILL_COLUMNS + PAID_COLUMNS)
 JOINED_SQL = """FROM dim_cliente c JOIN dim_sexo s USING (id_sexo) JOIN dim_educacion e USING (id_educacion)
@@ -150,6 +151,13 @@ def ml_dataset(spark, sf_dir):
     return star_ops.ml_dataset(b.star(spark, sf_dir))
 
 
+@query(b.STAR_SQL + "SELECT * FROM vw_ml_dataset")
+def ml_dataset_bucketed(spark, sf_dir):
+    """The dataset from a star stored in buckets by client; only the storing shuffles."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return star_ops.ml_dataset(store_star(b.star(spark, sf_dir), "estrella", buckets))
+
+
 @query(
     b.STAR_SQL
     + f"""SELECT id_cliente AS "ID", id_sexo AS "SEX", id_educacion AS "EDUCATION", id_estado_civil AS "MARRIAGE",

@@ -89,6 +89,36 @@ def run_query(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+#: Procedures of the credit database as SQL table functions over the views of ``register_views``. ``EXEC name args``
+#: becomes ``SELECT * FROM name(args)``, which also joins and filters. Parameters reach the scans as literals.
+PROCEDURES = {
+    "lote_siguiente": (
+        "n INT",
+        """SELECT * EXCEPT (posicion) FROM (
+             SELECT *, row_number() OVER (ORDER BY ID NULLS FIRST) AS posicion FROM staging_credit_cards)
+           WHERE posicion <= n AND n BETWEEN 1 AND 500""",
+    ),
+    "historial_cliente": (
+        "cliente BIGINT",
+        """SELECT h.id_cliente, m.mes_referencia, e.descripcion_estatus AS estado_de_pago,
+             h.monto_estado_cuenta, h.monto_pago_anterior
+           FROM historial_pagos h JOIN dim_tiempo_mes m ON m.id_mes = h.id_mes
+           JOIN dim_estatus_pago e ON e.id_estatus = h.id_estatus_pago WHERE h.id_cliente = cliente""",
+    ),
+    "resumen_migracion": ("", "SELECT * FROM vw_resumen_migracion"),
+}
+
+
+def register_procedures(spark: SparkSession) -> None:
+    """Temporary table functions for :func:`run_query`; call it after :func:`register_views` with staging rows.
+
+    ``lote_siguiente(n)`` is the next batch by id (1 to 500 rows; none for other n), ``historial_cliente(cliente)`` the
+    months of a client, ``resumen_migracion()`` the row counts. The batch keeps n rows a task before its only gather.
+    """
+    for name, (parameters, body) in PROCEDURES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE RETURN {body}")
+
+
 def list_tables(
     spark: SparkSession, kind: str | None = None, exclude: tuple[str, ...] = (), schema: str | None = None
 ) -> DataFrame:
