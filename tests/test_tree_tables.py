@@ -79,3 +79,13 @@ def test_settings_are_parts_of_the_largest_forest(rows):
     together = tree_tables.recalls(table, trees(5, 9), 3, [2, 5], [3, 9])
     alone = {(n, d): tree_tables.recalls(table, trees(n, d), 3, [n], [d])[n, d] for n in (2, 5) for d in (3, 9)}
     assert together == alone and together[5, 9] > 0.9
+
+
+def test_grid_search_as_table(rows, monkeypatch):
+    monkeypatch.setattr(classifiers, "GRID_TREES", [2, 4])
+    monkeypatch.setattr(classifiers, "GRID_DEPTH", [2, 6])
+    model, found = classifiers.tune_forest(rows, NAMES, "id", "y")
+    table = classifiers.search_results(found, rows).collect()
+    assert len(table) == 8 and table[0]["recall"] == max(r["recall"] for r in table) > 0.8
+    assert {(r["arboles"], r["profundidad"], r["min_hoja"]) for r in table} == {(n, d, m) for n in (2, 4) for d in (2, 6) for m in (2, 5)}
+    assert classifiers.score(model, rows).where("prediccion = y").count() > 800
