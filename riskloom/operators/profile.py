@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.filters import nan_as_null, numeric_columns
-from riskloom.operators.reshape import to_variables
-from riskloom.operators.selection import exact_quantiles
+from riskloom.operators.selection import column_quantiles, exact_quantiles
 from riskloom.sizing import join_checked
 
 
@@ -21,13 +20,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     columns = list(columns or numeric_columns(df))
     numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    rows = to_variables(numbers, columns)
     kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = numbers.agg(*[F.struct(*[f(c).alias(k) for k, f in kinds.items()]).alias(c) for c in columns])
     moments = wide.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}`")[k].alias(k) for k in kinds]) for c in columns]))
     )
-    quartiles = exact_quantiles(rows, "value", [0.25, 0.5, 0.75], ["variable"]).drop("n")
+    quartiles = column_quantiles(numbers, columns, [0.25, 0.5, 0.75]).drop("n")
     return join_checked(moments, quartiles, ["variable"], "left").select(
         "variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )

@@ -114,3 +114,22 @@ def test_head_and_tail(spark):
     df = spark.range(20).repartition(4)
     got = s.head_and_tail(df, "id", 2).collect()
     assert sorted((r["id"], r["place"]) for r in got) == [(0, "first"), (1, "first"), (18, "last"), (19, "last")]
+
+
+def test_wide_quantiles_equal_those_by_rows(spark, monkeypatch):
+    """Many ties, none, NULL and NaN, a constant column, a column without values; and a sketch that is of no use."""
+    rows = spark.range(0, 5_000, 1, 4).select(
+        F.rand(1).alias("a"), (F.rand(2) * 7).cast("int").alias("b"), F.lit(4).alias("c"), F.lit(None).cast("double").alias("d"),
+        F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, F.col("id")).alias("e"),
+    ).cache()
+    ask, names = [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"]
+    by_rows = sorted(s.column_quantiles(rows, names, ask).collect())
+    assert [r["variable"] for r in by_rows] == ["a", "b", "c", "e"]
+    wide = []  # the rows that leave the wide table
+    monkeypatch.setattr(s, "exact_quantiles", lambda *a: wide.append(a))
+    for accuracy, group_rows in ((50_000, 100), (100, 1_000)):
+        assert sorted(s.column_quantiles(rows, names, ask, None, group_rows, accuracy).collect()) == by_rows
+    assert not wide
+    s.column_quantiles(rows, names, ask, None, 10, 20)
+    assert len(wide) == 1
+    rows.unpersist()
