@@ -85,8 +85,24 @@ def box_statistics(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
 
 
 def box_statistics_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One box per column."""
-    return box_statistics(to_variables(df, columns), "value", ["variable"])
+    """One box per column that has values; the fences of all columns enter one wide aggregate as literals."""
+    columns = list(columns)
+    numbers = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    boxes = {}
+    for row in column_quantiles(numbers, columns, [0.25, 0.5, 0.75]).collect():  # one for each column
+        reach = 1.5 * (row["q75"] - row["q25"])
+        boxes[row["variable"]] = {**row.asDict(), "cerca_inf": row["q25"] - reach, "cerca_sup": row["q75"] + reach}
+    facts = []
+    for c, box in boxes.items():
+        inside = F.col(c).between(F.lit(box["cerca_inf"]), F.lit(box["cerca_sup"]))
+        held = F.when(inside, F.col(c))
+        found = [F.min(held).alias("bigote_inf"), F.max(held).alias("bigote_sup"), F.count_if(~inside).alias("atipicos")]
+        facts.append(F.struct(*[F.lit(v).alias(k) for k, v in box.items()], *found))
+    kinds = "variable string, n long, q25 double, q50 double, q75 double, cerca_inf double, cerca_sup double"
+    if not facts:
+        return df.sparkSession.createDataFrame([], f"{kinds}, bigote_inf double, bigote_sup double, atipicos long")
+    rows = numbers.agg(F.array(*facts).alias("boxes")).select(F.inline("boxes"))
+    return rows.withColumn("n", F.col("n").cast("long"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
+from riskloom.operators.reshape import to_variables
 from riskloom.operators import profile, sketches
 from riskloom.session import scratch_path
 
@@ -122,3 +123,18 @@ def test_merged_sketches_answer_like_one_of_all_rows(spark):
                 continue
             low, high = (f(values_, r["valor"]) / len(values_) for f in (bisect.bisect_left, bisect.bisect_right))
             assert low - error <= r["p"] <= high + error
+
+
+def test_box_per_column_stays_wide(spark):
+    """NULL, NaN, outliers and a column without values; no row is copied for each column."""
+    rows = spark.range(200).select(
+        F.when(F.col("id") % 9 != 0, F.col("id") * F.col("id")).alias("a"), F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("id") % 5).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.when(F.col("id") < 3, -1e6).otherwise(F.rand(3)).alias("d"),
+    ).cache()
+    names = ["a", "b", "c", "d"]
+    wide = profile.box_statistics_wide(rows, names)
+    by_rows = profile.box_statistics(to_variables(rows, names), "value", ["variable"])
+    assert wide.columns == by_rows.columns and sorted(wide.collect()) == sorted(by_rows.collect())
+    assert "Expand" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert profile.box_statistics_wide(rows, ["c"]).collect() == []
+    rows.unpersist()
