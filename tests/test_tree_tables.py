@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from riskloom.ml import classifiers, features, metrics, tree_tables
@@ -40,6 +41,13 @@ def test_forest_as_table(spark, rows):
     assert sorted(again.select("id", "probabilidad").collect()) == sorted(scored.select("id", "probabilidad").collect())
 
 
+def test_driver_holds_the_trees_of_few_rows_only(spark):
+    """100 trees of 8,000 noisy rows were Spark ML's own, and took the driver's memory."""
+    rows = spark.range(0, 3_000, 1, 2).select("id", F.rand(1).alias("a"), (F.rand(2) > 0.5).cast("int").alias("y"))
+    for table, kind in ((rows, tree_tables.TreeTableModel), (rows.where("id < 500"), RandomForestClassificationModel)):
+        assert isinstance(classifiers.train_forest(table, ["a"], "y", numTrees=2, maxDepth=5).stages[-1], kind)
+
+
 def _trees(trees):
     kinds = {"feature": np.uint8, "cut": np.uint8, "left": np.int32, "chance": np.float32}
     return [[np.frombuffer(r[n], t) for n, t in kinds.items()] for r in trees.orderBy("tree").collect()]
