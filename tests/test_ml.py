@@ -181,6 +181,29 @@ def test_models_fitted_together_equal_models_fitted_alone(spark, monkeypatch):
     rows.unpersist()
 
 
+def test_parts_of_a_large_table_come_before_all_rows(spark, monkeypatch):
+    """Rounds over parts that grow leave few rounds over all rows; these go on until no model moves."""
+    monkeypatch.setattr(lloyd, "START_ROWS", 20)
+    monkeypatch.setattr(lloyd, "GROWTH", 4)
+    draw = np.random.default_rng(3)
+    points = np.concatenate([draw.normal(c, 1.0, (500, 3)) for c in (0, 2, 4)])
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>").select(array_to_vector("v").alias("features"))
+    sizes, sums = [], lloyd._sums
+
+    def seen(packed, models, extra):
+        found = sums(packed, models, extra)
+        sizes.append(int(found[0].sum()) // len(models))
+        return found
+
+    monkeypatch.setattr(lloyd, "_sums", seen)
+    models = lloyd.fit_all(rows, [(3, 1), (3, 2)])
+    assert sizes == sorted(sizes) and sizes[-1] == 1500 and len({n for n in sizes if n < 750}) >= 2
+    for model in models:
+        gaps = ((points[:, None] - model.centres) ** 2).sum(2)
+        means = np.array([points[gaps.argmin(1) == i].mean(0) for i in range(3)])
+        assert ((means - model.centres) ** 2).sum() <= 2 * lloyd.TOLERANCE * points.var(0).mean() and sum(model.sizes) == 1500
+
+
 def test_kmeans_of_few_and_of_no_rows(spark):
     rows = spark.createDataFrame([([1.0, 2.0],)] * 4 + [([3.0, 2.0],)], "v array<double>")
     rows = rows.select(array_to_vector("v").alias("features"))
