@@ -23,6 +23,9 @@ from riskloom.schemas import (
 )
 from riskloom.session import materialize
 
+#: Rows of a batch that one task handles.
+TASK_ROWS = 100_000
+
 
 def clients_from(staging: DataFrame) -> DataFrame:
     """Client rows of staging rows."""
@@ -151,7 +154,9 @@ def plan_batch(staging: DataFrame, n: int) -> BatchPlan:
         raise ValueError("no rows in staging")
     if sizes["keyed"] < sizes["rows"]:
         raise ValueError("batch rejected, nothing written: staging rows without ID come first")
-    batch = materialize(split_first_n(staging, "ID", n, sizes["keyed"])[0], "lote")
+    batch = split_first_n(staging, "ID", n, sizes["keyed"])[0]
+    parts = -(-min(n, sizes["keyed"]) // TASK_ROWS)
+    batch = materialize(batch.repartition(parts) if parts > 1 else batch, "lote")  # one large file is one task
     facts = batch.agg(F.count("*").alias("rows"), F.max("ID").alias("last")).first()
     # all smaller ids are in the batch, so the rows it takes along are those up to its last id
     remaining = staging.where(F.col("ID") > F.lit(facts["last"]))

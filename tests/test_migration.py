@@ -106,6 +106,15 @@ def test_rejected_batches(spark, rows, reason):
         migration.migrate_batch(staging(spark, *rows), empty_star(spark), 10)
 
 
+def test_rows_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(migration, "TASK_ROWS", 10)
+    rows = staging(spark, *[staging_row(i) for i in range(60)]).coalesce(1)
+    for n, parts in ((60, 6), (35, 4), (10, 1)):
+        plan = migration.plan_batch(rows, n)
+        assert len(plan.batch.inputFiles()) >= parts and plan.batch.count() == n
+        assert (parts > 1) == (len(plan.batch.inputFiles()) > 1)
+
+
 def test_join_delete_keeps_null_ids(spark):
     rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "ID long")
     gone = spark.createDataFrame([(2,)], "ID long")
