@@ -48,6 +48,23 @@ def test_driver_holds_the_trees_of_few_rows_only(spark):
         assert isinstance(classifiers.train_forest(table, ["a"], "y", numTrees=2, maxDepth=5).stages[-1], kind)
 
 
+def test_scores_pass_no_trees_through_the_driver(rows, monkeypatch):
+    """Several slices of rows and blocks of trees; equal rows and no rows. The trees were sent to all tasks as broadcasts."""
+    model = classifiers.train_forest(rows, NAMES, "y", numTrees=5).stages[-1]
+    monkeypatch.setattr(tree_tables, "CHUNK", 300)
+    monkeypatch.setattr(rows.sparkSession.sparkContext, "broadcast", None)
+    vectors = features.assembler(NAMES, "features").transform(rows.unionAll(rows.where("id < 100")))
+    scored = model.transform(vectors)
+    assert scored.columns == [*vectors.columns, "probability", "prediction"]
+    held = scored.select("id", *NAMES, F.col("probability").cast("string").alias("p"), "prediction").toPandas()
+    cells = np.stack([np.searchsorted(c, held[n]) for n, c in zip(NAMES, model.cuts, strict=True)], 1)
+    start = np.zeros(len(held), np.int64)
+    chance = sum(c[tree_tables.walk(cells, start, f, k, left)].astype(float) for f, k, left, c in _trees(model.trees)) / 5
+    assert len(held) == 1_100 and [float(x[1:-1].split(",")[1]) for x in held["p"]] == pytest.approx(chance.tolist())
+    assert held["prediction"].tolist() == (chance > 0.5).astype(float).tolist()
+    assert model.transform(vectors.where("id < 0")).count() == 0
+
+
 def _trees(trees):
     kinds = {"feature": np.uint8, "cut": np.uint8, "left": np.int32, "chance": np.float32}
     return [[np.frombuffer(r[n], t) for n, t in kinds.items()] for r in trees.orderBy("tree").collect()]
