@@ -65,6 +65,12 @@ def test_scores_pass_no_trees_through_the_driver(rows, monkeypatch):
     assert model.transform(vectors.where("id < 0")).count() == 0
 
 
+def test_each_action_on_scored_rows_does_not_walk_the_trees_again(rows):
+    model = classifiers.train_forest(rows, NAMES, "y", numTrees=2)
+    plan = classifiers.score(model, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Parquet" in plan and "Python" not in plan and "CoGroup" not in plan
+
+
 def _trees(trees):
     kinds = {"feature": np.uint8, "cut": np.uint8, "left": np.int32, "chance": np.float32}
     return [[np.frombuffer(r[n], t) for n, t in kinds.items()] for r in trees.orderBy("tree").collect()]
