@@ -120,3 +120,64 @@ def test_grid_search_as_table(rows, monkeypatch):
     assert len(table) == 8 and table[0]["recall"] == max(r["recall"] for r in table) > 0.8
     assert {(r["arboles"], r["profundidad"], r["min_hoja"]) for r in table} == {(n, d, m) for n in (2, 4) for d in (2, 6) for m in (2, 5)}
     assert classifiers.score(model, rows).where("prediccion = y").count() > 800
+
+
+def test_forests_read_all_rows(spark, monkeypatch):
+    """Fits took a part of the rows beyond ``FIT_ROWS``: here the leaves' classes show which rows took part."""
+    monkeypatch.setattr(classifiers, "DRIVER_ROWS", 100)
+    monkeypatch.setattr(classifiers, "FIT_ROWS", 300)
+    rows = spark.range(0, 1_000, 1, 4).select("id", F.rand(1).alias("a"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    rows = rows.unionAll(spark.createDataFrame([(5_000, 0.5, None)], rows.schema)).cache()
+    binned = []
+    monkeypatch.setattr(tree_tables, "binned", lambda *a, real=tree_tables.binned: binned.append(real(*a)) or binned[-1])
+    model = classifiers.train_forest(rows, ["a"], "y", numTrees=2, maxDepth=3)
+    assert isinstance(model.stages[-1], tree_tables.TreeTableModel)
+    monkeypatch.setattr(classifiers, "GRID_TREES", [2])
+    monkeypatch.setattr(classifiers, "GRID_DEPTH", [2])
+    classifiers.tune_forest(rows, ["a"], "id", "y")
+    assert [(t.count(), t.where("y = 1").count()) for t in binned] == [(1_000, 250), (1_000, 250)]
+    rows.unpersist()
+
+
+@pytest.mark.parametrize("chunk", [500, 50_000])
+def test_cuts_are_quantiles_of_all_rows(spark, monkeypatch, chunk):
+    """They were those of 10,000 rows. Skew, ties, few values, one value, and a value only in the last tasks' rows."""
+    monkeypatch.setattr(tree_tables, "CHUNK", chunk)
+    monkeypatch.setattr(tree_tables, "SHOWN", 40)
+    i = F.col("id")
+    columns = [F.rand(3), F.exp(F.rand(4) * 20), F.round(F.rand(5) * 40), (i % 3).cast("double"), F.lit(2.0), F.greatest(i - 11_000, F.lit(0)).cast("double")]
+    table = spark.range(0, 12_000, 1, 5).select("id", *[c.alias(f"c{k}") for k, c in enumerate(columns)]).cache()
+    found = tree_tables.quantile_cuts(features.assembler([f"c{k}" for k in range(6)], "features").transform(table))
+    held = table.toPandas()
+    for k, cuts in enumerate(found):
+        values = held[f"c{k}"].to_numpy()
+        ends = np.quantile(values, np.arange(1, 32) / 32, method="lower")
+        assert cuts.tolist() == np.unique(ends[ends < values.max()]).tolist()
+    table.unpersist()
+
+
+def test_trees_in_parts_are_the_whole_trees(spark, rows, monkeypatch):
+    """Beyond ``WHOLE_ROWS`` nobody holds a whole tree: the same chances, recalls and importances, also after reloading."""
+    vectors = features.assembler(NAMES, "features").transform(rows)
+    cuts = tree_tables.quantile_cuts(vectors)
+    table = tree_tables.binned(vectors, "y", cuts)
+    growth = tree_tables.Growth(5, 9, 1, (1.0, 2.0), 3, 7)
+    whole = tree_tables.grow(table, growth)
+    monkeypatch.setattr(tree_tables, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(tree_tables, "CHUNK", 300)
+    monkeypatch.setattr(tree_tables, "LARGE_SUBTREE_ROWS", 60)  # rows that go to one part are dealt to several tasks
+    monkeypatch.setattr(tree_tables, "DEALT_BYTES", 11_000)  # two trees at a time
+    monkeypatch.setattr(tree_tables, "COUNT_BYTES", 4_096)  # four nodes at a time
+    parts = tree_tables.grow(table, growth)
+    assert parts.count() > 15 and parts.where("node >= 0 and octet_length(cut) > 151 * 2").count() == 0
+    models = [tree_tables.TreeTableModel(trees, cuts) for trees in (whole, parts)]
+    path = scratch_path(spark, "parts")
+    models[1].save(path)
+    models.append(tree_tables.TreeTableModel.load(path))
+    scores = [{r["id"]: r["p"] for r in m.transform(vectors).selectExpr("id", "cast(probability as string) p").collect()} for m in models]
+    chances = [[float(s[i][1:-1].split(",")[1]) for i in sorted(s)] for s in scores]
+    assert len(chances[0]) == 1_000 and chances[1] == pytest.approx(chances[0], abs=1e-12) and scores[1] == scores[2]
+    assert models[1].featureImportances.toArray() == pytest.approx(models[0].featureImportances.toArray())
+    assert models[1].transform(vectors.where("id < 0")).count() == 0
+    recalls = [tree_tables.recalls(table, trees, 3, [2, 5], [1, 3, 9]) for trees in (whole, parts)]
+    assert recalls[0] == recalls[1] and recalls[0][5, 9] > 0.9
