@@ -230,3 +230,15 @@ def test_cluster_profile(spark):
     rows = spark.createDataFrame([(0, 10.0, 1), (0, 20.0, 0), (1, 5.0, 1), (0, 31.0, 0)], "cluster int, limite double, y int")
     got = [tuple(r) for r in clustering.cluster_profile(rows, ["limite"], "y").collect()]
     assert got == [(0, 3, 20.33, 33.33), (1, 1, 5.0, 100.0)]
+
+
+def test_points_travel_in_small_blocks(spark):
+    """An Arrow batch takes 10,000 blocks: with blocks of 2,048 rows it held all rows of a task."""
+    rows = spark.range(0, 5_000, 1, 2).select(array_to_vector(F.array(*[(F.col("id") + i).cast("double") for i in range(23)])).alias("features"))
+    packed = lloyd._packed(lloyd._points(rows, "features"))
+    blocks = [np.frombuffer(r["block"]).reshape(-1, 23) for r in packed.collect()]
+    assert max(b.nbytes for b in blocks) * 10_000 < 32 << 20
+    assert np.concatenate(blocks)[:, 0].tolist() == list(range(5_000))
+    counts, _, sums = lloyd._sums(packed, [np.zeros((1, 23))], lambda rows, places, squares: squares)
+    assert counts.tolist() == [5_000.0] and sums[0, 1] == 5_000 * 4_999 / 2 + 5_000
+    assert lloyd._packed(lloyd._points(rows.where("false"), "features")).count() == 0
