@@ -192,6 +192,27 @@ def test_run_length_index_against_sorting():
             assert index.repeats(owners, 4).tolist() == wanted
 
 
+@pytest.mark.parametrize("most", [1 << 10, 1 << 62])
+def test_ranks_of_short_and_long_keys(most):
+    keys = np.random.default_rng(8).integers(0, most, 5_000) // 3 * 3
+    ranks, order = run_length_index._ranks(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+    assert ranks.tolist() == (np.unique(keys, return_inverse=True)[1] + 1).tolist()
+
+
+def test_few_short_texts_are_hashed_together(monkeypatch):
+    """Half a megabyte of texts was, whose numbers left the cache at each step; segments do not depend on it."""
+    draw = random.Random(9)
+    texts = [bytes(draw.choices(b"abcd ", k=draw.choice([0, 49, 50, 900, 4_000]))) for _ in range(400)]
+    whole, sizes, real = segments.segments(texts), [], segments._of_pieces
+    monkeypatch.setattr(segments, "_of_pieces", lambda held: sizes.append(sum(len(p) for _, _, p in held)) or real(held))
+    again = segments.segments(texts)
+    assert len(sizes) > 3 and max(sizes) <= 1 << 17
+    for name in ("text", "start", "windows", "gram", "digest"):
+        alone = np.concatenate([getattr(segments.segments([t]), name) + (i if name == "text" else 0) for i, t in enumerate(texts)])
+        assert (getattr(whole, name) == getattr(again, name)).all() and (alone == getattr(whole, name)).all()
+
+
 def test_a_large_family_around_the_threshold(make_docs, rows_of):
     """2,000 copies, many pairs of which lie just above or below the threshold."""
     rows = [(7 * i % 2_003, t) for i, t in enumerate(family(11, 2_000, words=50))]
