@@ -76,6 +76,22 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _codebooks(sample: DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Codebooks of both halves of the sample's vectors, fitted by a task: no vector reaches the driver."""
+    half = dimension // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch.column("vector").flatten().to_numpy().reshape(-1, dimension) for batch in batches if batch.num_rows]
+        if parts:
+            x = np.concatenate(parts)
+            books = [_k_means(x[:, :half], CENTROIDS), _k_means(x[:, half:], CENTROIDS)]
+            yield pa.RecordBatch.from_pydict({"half": pa.array([0, 1], pa.int32()), "centres": pa.array([b.tobytes() for b in books], pa.binary())})
+
+    found = sample.select("vector").mapInArrow(run, "half int, centres binary").collect()  # the sample is one sorted partition
+    books = {r["half"]: np.frombuffer(r["centres"]) for r in found}
+    return (books[0].reshape(-1, half), books[1].reshape(-1, dimension - half)) if books else None
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector of doubles) of rows that take part: not null, not zero, all components finite, usual length."""
     doubles = F.col(vector_col).cast("array<double>")
@@ -109,12 +125,11 @@ def search(
     usual = valid.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     dimension = usual["size"] if usual else 1
     valid = valid.where(F.size("vector") == dimension)
-    sample = bounded_sample(valid, "id", FIT_ROWS).select("vector").toArrow()
-    if not sample.num_rows:
+    fitted = _codebooks(bounded_sample(valid, "id", FIT_ROWS), dimension)
+    if fitted is None:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, {id_col} {id_type}, score double")
-    fitted = np.array(sample.column("vector").to_pylist()).reshape(-1, dimension)
     half = dimension // 2
-    books = spark.sparkContext.broadcast((_k_means(fitted[:, :half], CENTROIDS), _k_means(fitted[:, half:], CENTROIDS)))
+    books = spark.sparkContext.broadcast(fitted)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +197,8 @@ def search(
             for asked_rows, held_rows in zip(batch.column("asked"), batch.column("held"), strict=True):
                 yield from _rank_blocks(asked_rows.values, held_rows.values, dimension, k)
 
-    found = entries.join(asking, ["c1", "copy"]).select("asked", "held").mapInArrow(rank, result)
+    # a query's vector is stored once for all its probes, so the file says little about the rows: never broadcast them
+    found = entries.join(asking.hint("merge"), ["c1", "copy"]).select("asked", "held").mapInArrow(rank, result)
     by_distance = Window.partitionBy("query_id").orderBy("score", "id")
     return (
         found.distinct()

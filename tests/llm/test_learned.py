@@ -297,6 +297,25 @@ def test_repeated_rows_take_no_places(spark, monkeypatch, times):
     assert searched(spark, vectors[:6] * times, least=10**6) == by_force(vectors[:6], 10, 10)
 
 
+def test_codebooks_are_fitted_by_a_task(spark, monkeypatch):
+    """The vectors of the fit reached the driver as Python numbers."""
+    on_driver, real = [], multi_index._k_means
+    monkeypatch.setattr(multi_index, "_k_means", lambda x, k: on_driver.append(len(x)) or real(x, k))
+    draw = np.random.default_rng(6)
+    vectors = [(i, [float(np.float32(x)) for x in draw.normal(size=8)]) for i in range(200)]
+    assert searched(spark, vectors, least=10**6) == by_force(vectors, 10, 10) and not on_driver
+
+
+def test_probes_are_not_broadcast(spark):
+    """The probes' file is far smaller than their rows, which went through the driver."""
+    draw = np.random.default_rng(7)
+    frame = spark.createDataFrame([(i, [float(x) for x in draw.normal(size=8)]) for i in range(200)], "vec_id long, embedding array<float>")
+    found = multi_index.search(frame, "vec_id % 10 = 0")
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_recall_of_a_part(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(20, 8)) * 4
